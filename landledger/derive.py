@@ -131,3 +131,194 @@ def artifacts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_discount") == 0, "n/a").otherwise(F.col("l_quantity").cast("string")).alias("loss"),
         F.concat(F.lit("C"), (F.col("l_suppkey") % 4).cast("string")).alias("contact"),
     )
+
+
+# -- audit tables ----------------------------------------------------------------
+
+# Question, stage and the questions it builds on.
+QUESTIONS = [
+    ("q01", 1, []), ("q02", 1, []), ("q03", 1, []), ("q04", 1, []),
+    ("q05", 2, ["q03"]), ("q06", 2, ["q05"]), ("q07", 2, ["q05"]),
+    ("q08", 3, ["q05"]), ("q09", 3, ["q05"]), ("q10", 3, ["q09"]), ("q11", 3, ["q09"]), ("q12", 3, ["q09"]),
+    ("q13", 3, ["q09"]), ("q14", 3, ["q09"]),
+    ("q15", 4, ["q09"]), ("q16", 4, ["q09"]), ("q17", 4, ["q16"]), ("q18", 4, ["q16"]), ("q19", 4, ["q16"]),
+    ("q20", 4, ["q16"]), ("q21", 4, ["q09"]), ("q22", 4, ["q09"]), ("q23", 4, ["q16"]),
+    ("q24", 5, ["q16", "q20"]), ("q25", 5, ["q16"]), ("q26", 5, ["q24"]), ("q27", 5, ["q20"]),
+    ("q28", 5, ["q24"]), ("q29", 5, ["q24"]), ("q30", 6, ["q24", "q26", "q27", "q28"]), ("q31", 2, ["q05"]),
+]
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUESTIONS, "qid string, stage int, depends_on array<string>")
+
+
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per supplier answering every question, the outcome decided by its line items."""
+    qid = F.format_string("q%02d", (F.col("l_partkey") % 31 + 1).cast("int"))
+    total = F.sum("l_quantity").cast("bigint") % 10
+    outcome = (
+        F.when(total < 7, "correct").when(total == 7, "near_miss").when(total == 8, "wrong").otherwise("missing")
+    )
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("run"), qid.alias("qid")).agg(
+        outcome.alias("outcome")
+    )
+
+
+def run_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("run"),
+        F.get(F.array(*[F.lit(m) for m in ("haiku", "sonnet", "opus")]), F.col("s_nationkey") % 3).alias("model"),
+        F.when(k % 13 == 0, "produced_nothing").when(k % 13 == 1, "incomplete").when(k % 13 != 2, "done")
+        .alias("status"),
+        F.when(k % 4 == 1, "full").when(k % 4 == 2, "no-coops").when(k % 4 == 3, "no-matching").alias("arm"),
+        F.when(k % 7 == 0, F.lit(None)).when(F.col("s_nationkey") % 2 == 0, "a1b2").otherwise("c3d4")
+        .alias("spec_fingerprint"),
+        F.lit("g1").alias("golden_fingerprint"),
+        F.when(k % 11 == 5, "g2").when(k % 11 != 6, "g1").alias("graded_against"),
+        F.lit("").alias("label"),
+        F.col("s_acctbal").alias("duration_seconds"), (F.col("s_acctbal") / 4).alias("slow_tool_seconds"),
+        (k % 3).alias("timed_out_tool_calls"), (F.col("s_acctbal") / 1000).alias("imputed_cost_usd"),
+        (k % 200).alias("turns"),
+    )
+
+
+ROWS_PER_QUESTION = 20
+PART_RUNS = 4
+
+
+def golden_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty parts make one golden table of key, type and price."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        _div(k, ROWS_PER_QUESTION).alias("question"),
+        F.concat(F.lit("q"), _div(k, ROWS_PER_QUESTION).cast("string")).alias("qid"),
+        (k % ROWS_PER_QUESTION).cast("int").alias("row_no"),
+        F.array(k.cast("string"), "p_type", F.col("p_retailprice").cast("string")).alias("cells"),
+        F.col("p_retailprice").alias("price"),
+    )
+
+
+def answer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four runs answer every golden table, each answer damaged in one of eight ways (``mode``)."""
+    golden = golden_tables(spark, sf_dir)
+    runs = golden.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(PART_RUNS - 1))))
+    mode = (F.col("r") + F.col("question")) % 8
+    factor = F.when(mode == 2, 1.0005).when(mode == 3, 1.005).when(mode == 4, 1.5).otherwise(1.0)
+    price = (F.col("price") * factor).cast("string")
+    key, kind = F.col("cells")[0], F.col("cells")[1]
+    ragged = (mode == 6) & (F.col("row_no") == 3)
+    cells = (
+        F.when(mode == 1, F.array(price, key, F.upper(kind)))
+        .when(ragged, F.array(key, kind, price, F.lit("?")))
+        .otherwise(F.array(key, kind, price))
+    )
+    made = runs.select(
+        F.concat(F.lit("r"), F.col("r").cast("string")).alias("run"), "qid",
+        (ROWS_PER_QUESTION - F.col("row_no")).cast("int").alias("row_no"), cells.alias("cells"), mode.alias("mode"),
+    )
+    return made.filter((F.col("mode") != 7) & ~((F.col("mode") == 5) & (F.col("row_no") == 1)))
+
+
+def expected_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = golden_tables(spark, sf_dir).select("question", "qid").distinct()
+    runs = asked.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(PART_RUNS - 1))))
+    return runs.select(
+        F.concat(F.lit("r"), F.col("r").cast("string")).alias("run"), "qid",
+        ((F.col("r") + F.col("question")) % 8 != 7).alias("written"),
+    )
+
+
+# -- transcripts -------------------------------------------------------------------
+
+def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows as transcript records: one run per user, beats and results by event type."""
+    kind, v = F.col("event_type"), F.col("value")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    beat = kind.isin("view", "error")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("arrival"), "ts",
+        F.when(kind == "click", "assistant").when(kind == "purchase", "result").when(beat, "tool_progress")
+        .otherwise("system").alias("type"),
+        F.when(kind == "signup", "api_retry").alias("subtype"),
+        F.when(kind == "signup", F.when(k % 20 == 1, 401).otherwise(529)).alias("error_status"),
+        F.when(k % 5 != 0, F.concat(F.lit("s"), k.cast("string"))).alias("session_id"),
+        F.struct(
+            F.floor(v * 100).alias("input_tokens"), F.floor(v * 10).alias("output_tokens"),
+            F.when(k % 2 == 0, k).alias("cache_creation_input_tokens"), (k * 7).alias("cache_read_input_tokens"),
+        ).alias("usage"),
+        F.when(beat, (k % 10).cast("string")).alias("tool_use_id"),
+        F.when(beat & (k % 7 != 0), F.concat(F.lit("tool"), (k % 3).cast("string"))).alias("tool_name"),
+        F.when(beat, v).alias("elapsed_time_seconds"),
+        F.struct(
+            F.when(
+                kind == "click",
+                F.array(F.struct(F.lit("text").alias("type"), F.lit("-").alias("name")),
+                        F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), k.cast("string")).alias("name"))),
+            ).alias("content")
+        ).alias("message"),
+    )
+
+
+def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tool calls and their first shipment as the result."""
+    calls = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("run"), F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.struct(F.array(F.struct(
+            F.lit("tool_use").alias("type"), F.col("o_orderkey").cast("string").alias("id"),
+            F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("tool_use_id"),
+            F.lit(None).cast("boolean").alias("is_error"),
+        )).alias("content")).alias("message"),
+        "o_orderkey",
+    )
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.min("l_shipdate").cast("timestamp").alias("ts"), F.bool_or(F.col("l_returnflag") == "R").alias("bad")
+    )
+    owners = calls.select("run", "o_orderkey")
+    results = first.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "run", "ts",
+        F.struct(F.array(F.struct(
+            F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("id"),
+            F.lit(None).cast("string").alias("name"), F.col("o_orderkey").cast("string").alias("tool_use_id"),
+            F.col("bad").alias("is_error"),
+        )).alias("content")).alias("message"),
+    )
+    return calls.drop("o_orderkey").unionByName(results)
+
+
+def range_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows as range reads; a third are cut short."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("route"), (k * 1000).alias("bytes"), F.col("value").alias("total"),
+        (k % 3 != 0).alias("complete"), F.when(k % 10 == 3, "timeout").alias("error"),
+    )
+
+
+# -- documents ---------------------------------------------------------------------
+
+def committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under paths and with contents that a secret scan has to judge."""
+    d = F.col("doc_id")
+    name = F.when(d % 50 == 7, "/key.pem").when(d % 50 == 8, "/.env").otherwise(".md")
+    leak = F.when(d % 37 == 0, F.concat(F.lit("\nsk-ant-"), F.md5("text"))).when(
+        d % 41 == 0, F.lit('\n{"accessToken": "a", "refreshToken": "b"}')
+    ).when(d % 43 == 0, F.lit('\n{"refreshToken": "b"}'))
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("docs/"), d.cast("string"), name).alias("path"),
+        F.concat("text", F.coalesce(leak, F.lit(""))).alias("text"),
+    )
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with headings and fences put in place of lines by their length."""
+
+    def mark(line: Column) -> Column:
+        n = F.length(line)
+        title = F.concat(F.repeat(F.lit("#"), n % 3 + 1), F.lit(" T"), (n % 23).cast("string"))
+        return F.when(n % 17 == 5, "```").when(n % 3 == 1, title).when(n % 7 == 2, "").otherwise(line)
+
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"),
+        F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("text"),
+    )
