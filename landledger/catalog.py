@@ -121,7 +121,7 @@ view(
 )
 view(
     "delivery_widening",
-    lambda p: C.delivery(p.cadasters, p.facilities, p.policy).select(
+    lambda p: C.delivery(p.cadasters, p.facilities, p.policy, p.stages).select(
         "cod_imovel", "entity_id", "tier", F.round("distance_km", 6).alias("distance_km"),
         F.round("radius_km", 6).alias("radius_km"), "flags",
     ),
@@ -283,7 +283,7 @@ _with_grades("question_delta", lambda meta, grades, qs: _rounded(S.question_delt
 def _with_artifacts(name: str, build) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = Stages.of(spark, sf_dir).table("artifacts", lambda: A.load_artifacts(D.artifacts_raw(spark, sf_dir)))
-        return build(rows)
+        return build(rows, Stages.of(spark, sf_dir))
 
     QUERIES[name] = run
 
@@ -292,15 +292,15 @@ def _oracle_rows(rows: DataFrame) -> DataFrame:
     return rows.filter("run = 0").select("cod_imovel", "loss", "contact")
 
 
-_with_artifacts("artifact_load", lambda rows: rows)
-_with_artifacts("pairwise_jaccard", lambda rows: _rounded(A.pairwise_jaccard(rows)))
-_with_artifacts("unstable_set", lambda rows: A.unstable_parcels(rows))
-_with_artifacts("kendall_tau", lambda rows: _rounded(A.kendall_tau(rows)))
-_with_artifacts("fleiss_kappa", lambda rows: _rounded(A.contact_kappa(rows)))
-_with_artifacts("modal_agreement", lambda rows: _rounded(A.contact_agreement(rows)))
-_with_artifacts("loss_cv", lambda rows: _rounded(A.loss_variation(rows)))
-_with_artifacts("oracle_agreement", lambda rows: _rounded(A.oracle_agreement(rows, _oracle_rows(rows))))
-_with_artifacts("consistency_report", lambda rows: _rounded(A.consistency(rows, _oracle_rows(rows))))
+_with_artifacts("artifact_load", lambda rows, stages: rows)
+_with_artifacts("pairwise_jaccard", lambda rows, stages: _rounded(A.pairwise_jaccard(rows)))
+_with_artifacts("unstable_set", lambda rows, stages: A.unstable_parcels(rows))
+_with_artifacts("kendall_tau", lambda rows, stages: _rounded(A.kendall_tau(rows, stages)))
+_with_artifacts("fleiss_kappa", lambda rows, stages: _rounded(A.contact_kappa(rows)))
+_with_artifacts("modal_agreement", lambda rows, stages: _rounded(A.contact_agreement(rows)))
+_with_artifacts("loss_cv", lambda rows, stages: _rounded(A.loss_variation(rows)))
+_with_artifacts("oracle_agreement", lambda rows, stages: _rounded(A.oracle_agreement(rows, _oracle_rows(rows))))
+_with_artifacts("consistency_report", lambda rows, stages: _rounded(A.consistency(rows, _oracle_rows(rows), stages)))
 
 
 # -- transcripts ---------------------------------------------------------------------

@@ -103,13 +103,13 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.with_shape(raw).withColumns({"x_km": F.col("xmin"), "y_km": F.col("ymin")})
 
 
-def dirty_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_list(spark: SparkSession, sf_dir: str, land: DataFrame) -> DataFrame:
     """One list row per customer, naming the parcel of the same key, with every kind of defect."""
     n = F.col("c_custkey")
     src = F.when((n % 17 == 0) & (n > 0), n - 1).otherwise(n)
     rows = table(spark, sf_dir, "customer").select(n.alias("row_id"), src.alias("src"))
     s = F.col("src")
-    land = parcels(spark, sf_dir).select(F.col("row_key").alias("src"), "cod_imovel", "geometry")
+    land = land.select(F.col("row_key").alias("src"), "cod_imovel", "geometry")
     far, lost = s % 97 == 11, s % 41 == 9
     anonymous = far | lost | (s % 10).isin(3, 5)
     center = G.centroid(F.col("geometry"))
@@ -249,7 +249,7 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("usage"),
         F.when(beat, (k % 10).cast("string")).alias("tool_use_id"),
         F.when(beat & (k % 7 != 0), F.concat(F.lit("tool"), (k % 3).cast("string"))).alias("tool_name"),
-        F.when(beat, v).alias("elapsed_time_seconds"),
+        F.when(beat, F.floor(v)).cast("double").alias("elapsed_time_seconds"),
         F.struct(
             F.when(
                 kind == "click",

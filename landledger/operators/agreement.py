@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from landledger.plans.skew import dense_rank
+from landledger.plans.stages import Stages
 
 # Ranks are cut into blocks of this many for the prefix sums behind Kendall's tau.
 BLOCK = 1024
@@ -87,7 +88,7 @@ def shared_rows(artifacts: DataFrame) -> DataFrame:
     return artifacts.join(everywhere, "cod_imovel", "left_semi")
 
 
-def kendall_tau(artifacts: DataFrame, block: int = BLOCK) -> DataFrame:
+def kendall_tau(artifacts: DataFrame, stages: Stages, block: int = BLOCK) -> DataFrame:
     """(run_a, run_b, tau) of the loss rankings on shared parcels.
 
     No pairs of parcels are formed. Losses become dense ranks; discordant pairs are counted
@@ -96,7 +97,7 @@ def kendall_tau(artifacts: DataFrame, block: int = BLOCK) -> DataFrame:
     prefix sum over first ranks, taken in blocks so that no window holds a whole run.
     Ties on both sides count in both tie terms.
     """
-    shared = shared_rows(artifacts)
+    shared = stages.keep("shared_artifacts", shared_rows(artifacts))
     ranked = shared.join(dense_rank(shared, ["run"], "loss"), ["run", "loss"]).select("cod_imovel", "run", "position")
     per_parcel = ranked.groupBy("cod_imovel").agg(F.array_sort(F.collect_list(F.struct("run", "position"))).alias("runs"))
     points = (
@@ -119,11 +120,25 @@ def kendall_tau(artifacts: DataFrame, block: int = BLOCK) -> DataFrame:
         .groupBy("p.run_a", "p.run_b", "p.x", "p.y")
         .agg(F.count("*").alias("w"))
     )
+    points = stages.keep("rank_points", points)
     pair = ["run_a", "run_b"]
 
-    def tied(*cols: str, name: str) -> DataFrame:
-        groups = points.groupBy(*pair, *cols).agg(F.sum("w").alias("n"))
-        return groups.groupBy(*pair).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name))
+    def pairs_of(count: Column) -> Column:
+        return count * (count - 1) / 2
+
+    # Ties: groups of equal x, of equal y, and of both, in one pass over the points.
+    ties = (
+        points.groupingSets([[*pair, "x"], [*pair, "y"], [*pair, "x", "y"]], *pair, "x", "y")
+        .agg(F.sum("w").alias("n"), F.grouping_id().alias("_set"))
+        .groupBy(*pair)
+        .agg(
+            *[
+                F.sum(F.when(F.col("_set") == code, pairs_of(F.col("n"))).otherwise(0)).alias(name)
+                for code, name in ((1, "tx"), (2, "ty"), (0, "txy"))
+            ],
+            F.sum(F.when(F.col("_set") == 0, F.col("n")).otherwise(0)).alias("n"),
+        )
+    )
 
     top_bit = points.agg(F.ceil(F.log2(F.max("y") + 1)).cast("int")).scalar()
     bits = points.withColumn("bit", F.explode(F.sequence(F.lit(0), F.greatest(top_bit, F.lit(1)) - 1)))
@@ -149,11 +164,7 @@ def kendall_tau(artifacts: DataFrame, block: int = BLOCK) -> DataFrame:
         .groupBy(*pair)
         .agg(F.sum(F.col("zeros") * (F.col("before") + F.col("offset"))).alias("discordant"))
     )
-    counts = (
-        points.groupBy(*pair).agg(F.sum("w").alias("n"))
-        .join(tied("x", name="tx"), pair).join(tied("y", name="ty"), pair)
-        .join(tied("x", "y", name="txy"), pair).join(discordant, pair)
-    )
+    counts = ties.join(discordant, pair)
     n = F.col("n")
     decided = n * (n - 1) / 2 - F.col("tx") - F.col("ty") + F.col("txy")
     denominator = F.sqrt((decided + F.col("tx")) * (decided + F.col("ty")))
@@ -162,8 +173,8 @@ def kendall_tau(artifacts: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def ranking_tau(artifacts: DataFrame) -> DataFrame:
-    return kendall_tau(artifacts).agg(F.avg("tau").alias("ranking_tau"))
+def ranking_tau(artifacts: DataFrame, stages: Stages) -> DataFrame:
+    return kendall_tau(artifacts, stages).agg(F.avg("tau").alias("ranking_tau"))
 
 
 def _choices(shared: DataFrame) -> DataFrame:
@@ -231,7 +242,7 @@ def oracle_agreement(artifacts: DataFrame, oracle: DataFrame) -> DataFrame:
     )
 
 
-def consistency(artifacts: DataFrame, oracle: DataFrame) -> DataFrame:
+def consistency(artifacts: DataFrame, oracle: DataFrame, stages: Stages) -> DataFrame:
     """The one-row agreement report."""
     against = oracle_agreement(artifacts, oracle).agg(
         F.struct(F.avg("flag_jaccard").alias("flag_jaccard"), F.avg("contact_agreement").alias("contact_agreement"))
@@ -239,7 +250,7 @@ def consistency(artifacts: DataFrame, oracle: DataFrame) -> DataFrame:
     return artifacts.agg(F.count_distinct("run").alias("n_runs")).select(
         "n_runs",
         flag_jaccard(artifacts).scalar().alias("flag_jaccard"),
-        ranking_tau(artifacts).scalar().alias("ranking_tau"),
+        ranking_tau(artifacts, stages).scalar().alias("ranking_tau"),
         contact_agreement(artifacts).scalar().alias("contact_agreement"),
         contact_kappa(artifacts).scalar().alias("contact_kappa"),
         against["flag_jaccard"].alias("oracle_flag_jaccard"),

@@ -9,6 +9,7 @@ from landledger.functions import geometry as G
 from landledger.functions.projection import polyconic
 from landledger.plans.skew import HOT_ROWS, split_join, top_per_group
 from landledger.plans.spatial import box_pairs
+from landledger.plans.stages import Stages
 from landledger.policy import CATCHMENT, DELIVERY_TIERS, INTAKE, MEMBERSHIP, MILL, ROUTED_TIERS, SLAUGHTER, Policy
 
 COLUMNS = [
@@ -64,7 +65,9 @@ def _near(cad: DataFrame, points: DataFrame, radius: float, hot_rows: int) -> Da
     )
 
 
-def delivery(cad: DataFrame, facilities: DataFrame, policy: Policy, hot_rows: int = HOT_ROWS) -> DataFrame:
+def delivery(
+    cad: DataFrame, facilities: DataFrame, policy: Policy, stages: Stages, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Delivery points within each parcel's radius, which widens until min_candidates are met.
 
     The radius is the distance of the min_candidates-th nearest point held between intake_km and
@@ -76,13 +79,13 @@ def delivery(cad: DataFrame, facilities: DataFrame, policy: Policy, hot_rows: in
     ).select("entity_id", "entity_kind", "tier", "basis", F.col("weight").alias("evidence_value"), "x_km", "y_km")
     spots = cad.select("cod_imovel", "cod_ibge", "x_km", "y_km")
 
-    close = _near(spots, points, policy.intake_km, hot_rows)
+    close = stages.keep("delivery_close", _near(spots, points, policy.intake_km, hot_rows))
     served = (
         close.groupBy("cod_imovel").agg(F.count("*").alias("n"))
         .filter(F.col("n") >= policy.min_candidates).select("cod_imovel")
     )
     short = spots.join(served, "cod_imovel", "left_anti")
-    wide = _near(short, points, policy.intake_km_ceiling, hot_rows)
+    wide = stages.keep("delivery_wide", _near(short, points, policy.intake_km_ceiling, hot_rows))
     ranked = top_per_group(
         wide.select("cod_imovel", "entity_id", "distance_km"), ["cod_imovel"],
         [F.col("distance_km"), F.col("entity_id")], policy.min_candidates, "rn",
@@ -180,12 +183,13 @@ def rank_candidates(candidates: DataFrame, policy: Policy) -> DataFrame:
 
 def match_candidates(
     cad: DataFrame, facilities: DataFrame, scope: DataFrame, routing: DataFrame,
-    policy: Policy, hot_rows: int = HOT_ROWS,
+    policy: Policy, stages: Stages, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``cad``: cadasters with x_km, y_km. ``facilities``: with_shape columns and x_km, y_km."""
     every = (
         membership(cad, facilities, hot_rows)
-        .unionByName(delivery(cad, facilities, policy, hot_rows).drop("radius_km"))
+        .unionByName(delivery(cad, facilities, policy, stages, hot_rows).drop("radius_km"))
         .unionByName(catchments(cad, facilities, policy.cell, hot_rows))
     )
+    every = stages.keep("every_candidate", every)
     return rank_candidates(apply_routing(every, allowed_tiers(cad, scope, routing)), policy)

@@ -23,7 +23,8 @@ def inject(parcels: DataFrame, donors: dict[str, str]) -> DataFrame:
     defect = F.lit("")
     for parcel_id, name in by_id.items():
         defect = F.when(F.col("cod_imovel") == parcel_id, name).otherwise(defect)
-    shape, center = F.col("geometry"), G.centroid(F.col("geometry"))
+    parcels = parcels.withColumnRenamed("geometry", "_shape")
+    shape, center = F.col("_shape"), G.centroid(F.col("_shape"))
     damaged: Column = (
         F.when(F.col("defect") == "centroid", G.to_wkt(G.point(center["cx"], center["cy"])))
         .when(F.col("defect") == "geometry", G.to_wkt(shape))

@@ -10,11 +10,11 @@ from landledger.functions.projection import spheroid_area_m2
 from landledger.functions.sweep import overlap_area, union_area, union_region
 from landledger.plans.skew import HOT_ROWS, attach, top_per_group
 from landledger.plans.spatial import box_pairs, pair_area
+from landledger.plans.stages import Stages
 from landledger.policy import ERAS, FIELD_LABELS, Policy
 
 # Pieces handled by one kernel call. More pieces are merged chunk by chunk first.
 FAN_IN = 64
-MERGE_LEVELS = 3
 
 
 def spheroid_hectares(geom: Column) -> Column:
@@ -94,7 +94,9 @@ def primary_parcel(ov: DataFrame, policy: Policy, hot_rows: int = HOT_ROWS) -> D
     )
 
 
-def union_fraction(fields: DataFrame, cad: DataFrame, policy: Policy, hot_rows: int = HOT_ROWS) -> DataFrame:
+def union_fraction(
+    fields: DataFrame, cad: DataFrame, policy: Policy, stages: Stages, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Share of each field inside the union of all listed parcels, widened by the neighbour gap.
 
     No global union is built: area(f ∩ ∪ all) = area(f ∩ ∪ near f). Copies of a parcel
@@ -127,45 +129,45 @@ def union_fraction(fields: DataFrame, cad: DataFrame, policy: Policy, hot_rows:
     if gap == 0:
         # A box that shares no interior adds no area.
         pieces = pieces.filter(F.col("box_shared").isNull() | (F.col("box_shared") > 0))
+    pieces = stages.keep("union_pieces", pieces)
     told = attach(
         pieces, ["Id"],
         {"pieces": F.count("*"), "covered": F.bool_or("covers")},
         ["_copy"], hot_rows,
     )
+    boxes = fields.select("Id", F.col("is_box").alias("field_is_box"), F.col("edges").alias("field_edges"))
+    told = stages.keep("union_pieces_told", told.join(boxes, "Id"))
     whole = told.filter("covered").groupBy("Id").agg(F.max("field_area").alias("shared"))
     partial = told.filter("NOT covered")
-    boxes = fields.select("Id", F.col("is_box").alias("field_is_box"), F.col("edges").alias("field_edges"))
-    partial = partial.join(boxes, "Id")
     simple = (F.col("pieces") == 1) & F.col("box_shared").isNotNull() & F.col("field_is_box")
     single = partial.filter(simple).select("Id", F.col("box_shared").alias("shared"))
+    parts = [whole, single]
 
-    # Chunk number: hash modulo the number of chunks; merged level by level until one is left.
-    chunked = partial.filter(~simple).withColumn("_chunks", F.ceil(F.col("pieces") / FAN_IN)).withColumn(
-        "_chunk", F.pmod(F.xxhash64("_copy"), F.col("_chunks"))
+    # Chunk number: hash modulo the number of chunks. Chunks of a field with many pieces are
+    # merged into regions, sixty-four at a time, until one is left.
+    most = told.agg(F.coalesce(F.max("pieces"), F.lit(0))).first()[0]
+    groups = (
+        partial.filter(~simple)
+        .withColumn("_chunks", F.ceil(F.col("pieces") / FAN_IN))
+        .withColumn("_chunk", F.pmod(F.xxhash64("_copy"), F.col("_chunks")))
+        .groupBy("Id", "_chunk", "_chunks")
+        .agg(F.collect_list("piece").alias("pieces"), F.first("field_edges").alias("field_edges"))
     )
-    groups = chunked.groupBy("Id", "_chunk", "_chunks").agg(
-        F.collect_list("piece").alias("pieces"), F.first("field_edges").alias("field_edges")
-    )
-    parts = [whole, single]
-    for level in range(MERGE_LEVELS):
-        measure = union_area(gap if level == 0 else 0.0)
+    widen = gap
+    while True:
         parts.append(
-            groups.filter(F.col("_chunks") == 1).select("Id", measure("field_edges", "pieces").alias("shared"))
+            groups.filter(F.col("_chunks") == 1).select("Id", union_area(widen)("field_edges", "pieces").alias("shared"))
         )
-        if level == MERGE_LEVELS - 1:
+        if most <= FAN_IN:
             break
-        merge = union_region(gap if level == 0 else 0.0)
         merged = groups.filter(F.col("_chunks") > 1).select(
-            "Id", "field_edges", merge("field_edges", "pieces").alias("piece"),
-            F.floor(F.col("_chunk") / FAN_IN).alias("_chunk"),
-            # the last merge takes all that is left
-            (F.ceil(F.col("_chunks") / FAN_IN) if level < MERGE_LEVELS - 2 else F.lit(1)).alias("_chunks"),
+            "Id", "field_edges", union_region(widen)("field_edges", "pieces").alias("piece"),
+            F.floor(F.col("_chunk") / FAN_IN).alias("_chunk"), F.ceil(F.col("_chunks") / FAN_IN).alias("_chunks"),
         )
-        if level == MERGE_LEVELS - 2:
-            merged = merged.withColumn("_chunk", F.lit(0))
         groups = merged.groupBy("Id", "_chunk", "_chunks").agg(
             F.collect_list("piece").alias("pieces"), F.first("field_edges").alias("field_edges")
         )
+        most, widen = -(-most // FAN_IN), 0.0
     shared = parts[0]
     for part in parts[1:]:
         shared = shared.unionByName(part)
@@ -203,14 +205,17 @@ def admitted(decision: DataFrame, fields: DataFrame) -> DataFrame:
     return passed.join(fields, "Id")
 
 
-def match_fields(fields: DataFrame, cad: DataFrame, policy: Policy, hot_rows: int = HOT_ROWS) -> DataFrame:
+def match_fields(
+    fields: DataFrame, cad: DataFrame, policy: Policy, stages: Stages, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """The decision per field from its best single parcel and the union of all.
 
     Both inputs carry with_shape columns, fields an Id, parcels row_key and cod_imovel.
     They are read several times, so pass stage tables.
     """
-    single = primary_parcel(overlaps(fields, cad, policy, hot_rows), policy, hot_rows)
-    return decide(fields, single, union_fraction(fields, cad, policy, hot_rows), policy)
+    ov = stages.keep("overlaps", overlaps(fields, cad, policy, hot_rows))
+    union = stages.keep("union", union_fraction(fields, cad, policy, stages, hot_rows))
+    return decide(fields, primary_parcel(ov, policy, hot_rows), union, policy)
 
 
 def excluded_count(decision: DataFrame) -> DataFrame:

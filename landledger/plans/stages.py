@@ -32,6 +32,10 @@ class Stages:
             cls._open[key] = cls(spark, name)
         return cls._open[key]
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table that the plan reads more than once."""
+        return self.table(name, lambda: df)
+
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self.written:
             df = build()

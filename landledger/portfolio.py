@@ -41,7 +41,7 @@ class Portfolio:
 
     @cached_property
     def resolution(self) -> R.Resolution:
-        listed = self.stages.table("list", lambda: derive.dirty_list(self.spark, self.sf_dir))
+        listed = self.stages.table("list", lambda: derive.dirty_list(self.spark, self.sf_dir, self.parcels))
         prepared = self.stages.table("prepared", lambda: R.prepare(listed, self.policy))
         return R.resolve(prepared, self.parcels, self.policy, self.stages)
 
@@ -70,7 +70,7 @@ class Portfolio:
 
     @property
     def union(self) -> DataFrame:
-        return self.stages.table("union", lambda: M.union_fraction(self.fields, self.cad, self.policy))
+        return self.stages.table("union", lambda: M.union_fraction(self.fields, self.cad, self.policy, self.stages))
 
     @property
     def decision(self) -> DataFrame:
@@ -88,13 +88,17 @@ class Portfolio:
 
     @property
     def cadasters(self) -> DataFrame:
-        return C.cadasters(self.enriched).withColumns({"x_km": F.col("cx"), "y_km": F.col("cy")})
+        return self.stages.table(
+            "cadasters", lambda: C.cadasters(self.enriched).withColumns({"x_km": F.col("cx"), "y_km": F.col("cy")})
+        )
 
     @property
     def candidates(self) -> DataFrame:
         return self.stages.table(
             "candidates",
-            lambda: C.match_candidates(self.cadasters, self.facilities, self.scope, self.routing, self.policy),
+            lambda: C.match_candidates(
+                self.cadasters, self.facilities, self.scope, self.routing, self.policy, self.stages
+            ),
         )
 
     @property
