@@ -310,7 +310,7 @@ def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = U.usage_totals(D.transcript(spark, sf_dir))
     models = F.array(F.lit("haiku"), F.lit("sonnet"), F.lit("opus"))
     with_model = totals.withColumn("model", F.get(models, (F.col("run") % 3).cast("int")))
-    return _rounded(U.imputed_cost(with_model, price_table(spark)))
+    return _rounded(U.imputed_cost(with_model, price_table(spark)), 9)
 
 
 @query
@@ -354,7 +354,7 @@ def heartbeat_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def truncation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.truncation_stats(D.range_readings(spark, sf_dir), ["route"])
+    return U.truncation_stats(D.range_readings(spark, sf_dir), ["route"], digits=6)
 
 
 # -- documents -----------------------------------------------------------------------

@@ -19,19 +19,27 @@ _FLOAT = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*
 CELL = "struct<kind:string,i:bigint,d:double,s:string>"
 
 
+def _then(value: Column, step) -> Column:
+    """``step(value)`` with the value computed once, however often the step reads it."""
+    return F.element_at(F.transform(F.array(value), step), 1)
+
+
 def parse(raw: Column) -> Column:
     """Integer, else float, else trimmed text, as ``struct<kind, i, d, s>``."""
-    text = F.trim(F.coalesce(raw, F.lit("")), F.lit(" \t\r\n"))
-    plain = F.replace(text, F.lit("_"), F.lit(""))
-    whole = F.when(text.rlike(_INT), plain.try_cast("bigint"))
-    real = F.when(text.rlike(_FLOAT), plain.try_cast("double"))
-    kind = F.when(whole.isNotNull(), "i").when(real.isNotNull(), "f").otherwise("s")
-    return F.struct(
-        kind.alias("kind"),
-        whole.alias("i"),
-        F.when(kind != "s", real).alias("d"),
-        text.alias("s"),
-    )
+
+    def numbers(text: Column) -> Column:
+        plain = F.replace(text, F.lit("_"), F.lit(""))
+        return F.struct(
+            F.when(text.rlike(_INT), plain.try_cast("bigint")).alias("i"),
+            F.when(text.rlike(_FLOAT), plain.try_cast("double")).alias("d"),
+            text.alias("s"),
+        )
+
+    def typed(read: Column) -> Column:
+        kind = F.when(read["i"].isNotNull(), "i").when(read["d"].isNotNull(), "f").otherwise("s")
+        return F.struct(kind.alias("kind"), read["i"].alias("i"), read["d"].alias("d"), read["s"].alias("s"))
+
+    return _then(_then(F.trim(F.coalesce(raw, F.lit("")), F.lit(" \t\r\n")), numbers), typed)
 
 
 def word_value(cell: Column) -> Column:
@@ -48,27 +56,41 @@ def boolean_value(cell: Column) -> Column:
 
 def decimals(value: Column) -> Column:
     """Decimal places of a double in its shortest form, null from 1e16 up and below 1e-4."""
-    text = F.abs(value).cast("string")
-    mantissa = F.substring_index(F.substring_index(text, "E", 1), ".", -1)
-    digits = F.when(mantissa == "0", 0).otherwise(F.length(mantissa))
-    exponent = F.when(text.contains("E"), F.substring_index(text, "E", -1).try_cast("int")).otherwise(0)
-    size = F.abs(value)
-    return F.when((value == 0) | ((size >= 1e-4) & (size < 1e16)), F.greatest(digits - exponent, F.lit(1)))
+
+    def count(size: Column) -> Column:
+        return _then(
+            size.cast("string"),
+            lambda text: F.when(
+                (size == 0) | ((size >= 1e-4) & (size < 1e16)),
+                F.greatest(
+                    F.length(F.regexp_replace(text, r"^\d+\.(0(?=E|$))?|E.*$", ""))
+                    - F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0)),
+                    F.lit(1),
+                ),
+            ),
+        )
+
+    return _then(F.abs(value), count)
 
 
 def quantize(answer: Column, golden: Column) -> Column:
     """Answer rounded to the precision the golden value is written with."""
-    places = decimals(golden)
-    scale = F.pow(F.lit(10.0), places)
-    scaled = answer * scale
-    # beyond 2^53 a double has no fraction left to round
-    return F.when(places.isNull() | (F.abs(scaled) > 2.0**53), answer).otherwise(F.rint(scaled) / scale)
+
+    def rounded(scale: Column) -> Column:
+        # beyond 2^53 a double has no fraction left to round
+        keep = scale.isNull() | (F.abs(answer * scale) > 2.0**53)
+        return F.when(keep, answer).otherwise(F.rint(answer * scale) / scale)
+
+    return _then(F.pow(F.lit(10.0), decimals(golden)), rounded)
 
 
 def close(a: Column, b: Column, rel: Column) -> Column:
-    finite = ~F.isnan(a) & ~F.isnan(b) & (F.abs(a) != float("inf")) & (F.abs(b) != float("inf"))
-    near = F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(ABS_TOL))
-    return F.when(F.isnan(a) | F.isnan(b), F.lit(False)).otherwise((a == b) | (finite & near))
+    def near(x: Column) -> Column:
+        finite = (F.abs(x) < float("inf")) & (F.abs(b) < float("inf"))
+        room = F.greatest(rel * F.greatest(F.abs(x), F.abs(b)), F.lit(ABS_TOL))
+        return ~F.isnan(x) & ~F.isnan(b) & ((x == b) | (finite & (F.abs(x - b) <= room)))
+
+    return _then(a, near)
 
 
 def matches(answer: Column, golden: Column, geometry: Column, slack: float = 1.0) -> Column:

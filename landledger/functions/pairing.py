@@ -23,53 +23,67 @@ WORDS = {**dict.fromkeys(TRUE_WORDS, 1.0), **dict.fromkeys(FALSE_WORDS, 0.0)}
 class Columns:
     """The cells of one table column by column, as arrays ready for comparison."""
 
-    def __init__(self, rows: list[list[dict]]):
+    def __init__(self, rows: list[list[dict]], codes: dict[str, int]):
         self.width = len(rows[0])
-        self.cells = list(zip(*rows))
-        self.kind = [np.array([c["kind"] for c in col]) for col in self.cells]
-        self.number = [np.array([np.nan if c["d"] is None else c["d"] for c in col]) for col in self.cells]
-        self.whole = [np.array([0 if c["i"] is None else c["i"] for c in col]) for col in self.cells]
-        self.text = [np.array([c["s"].casefold() for c in col]) for col in self.cells]
+        columns = list(zip(*rows))
+        folded = [[c["s"].casefold() for c in col] for col in columns]
+        self.is_text = [np.array([c["kind"] == "s" for c in col]) for col in columns]
+        self.is_int = [np.array([c["kind"] == "i" for c in col]) for col in columns]
+        self.number = [np.array([np.nan if c["d"] is None else c["d"] for c in col]) for col in columns]
+        self.whole = [np.array([0 if c["i"] is None else c["i"] for c in col]) for col in columns]
+        self.text = [np.array([codes.setdefault(t, len(codes)) for t in col]) for col in folded]
         self.word = [
-            np.array([WORDS.get(t, np.nan) if k == "s" else np.nan for t, k in zip(texts, kinds)])
-            for texts, kinds in zip(self.text, self.kind)
+            np.array([WORDS.get(t, np.nan) for t in texts]) if text.any() else np.full(len(texts), np.nan)
+            for texts, text in zip(folded, self.is_text)
         ]
         self.truth = [
-            np.where((k == "i") & ((w == 0) | (w == 1)), w.astype(float), word)
-            for k, w, word in zip(self.kind, self.whole, self.word)
+            np.where(i & ((w == 0) | (w == 1)), w.astype(float), word)
+            for i, w, word in zip(self.is_int, self.whole, self.word)
         ]
+        self.places = [np.array([_places(v) for v in col]) for col in self.number]
 
-    def places(self, col: int) -> list[int | None]:
-        out = []
-        for value in self.number[col]:
-            text = repr(float(value))
-            out.append(None if "e" in text or not np.isfinite(value) else len(text.partition(".")[2]))
-        return out
+
+def _places(value: float) -> int:
+    """Decimal places a float is written with, -1 in exponent form."""
+    text = repr(float(value))
+    return -1 if "e" in text or not np.isfinite(value) else len(text.partition(".")[2])
 
 
 def match_matrix(a: Columns, i: int, g: Columns, j: int, geometry: bool, slack: float) -> np.ndarray:
     """[answer row, golden row] of whether answer column i matches golden column j."""
-    a_kind, g_kind = a.kind[i][:, None], g.kind[j][None, :]
-    both_num = (a_kind != "s") & (g_kind != "s")
-    both_int = (a_kind == "i") & (g_kind == "i")
-    an, gn = a.number[i], g.number[j]
-    rounded = np.column_stack(
-        [an if p is None else np.array([round(v, p) if np.isfinite(v) else v for v in an]) for p in g.places(j)]
-    )
-    rel = slack * (GEOM_REL_TOL if geometry else REL_TOL)
-    gap = np.where(rounded == gn[None, :], 0.0, np.abs(rounded - gn[None, :]))
-    room = np.maximum(rel * np.maximum(np.abs(rounded), np.abs(gn)[None, :]), ABS_TOL)
-    near = (gap == 0) | (np.isfinite(rounded) & np.isfinite(gn)[None, :] & (gap <= room))
-    aw, gw = a.whole[i][:, None], g.whole[j][None, :]
-    if geometry or slack > 1:
-        whole = np.abs(aw - gw) <= slack * np.maximum(GEOM_INT_SLACK, GEOM_INT_SHARE * np.abs(gw))
-    else:
-        whole = aw == gw
-    text = (a_kind == "s") & (g_kind == "s") & (a.text[i][:, None] == g.text[j][None, :])
-    out = np.where(both_int, whole, np.where(both_num, near, text))
-    at, gt = a.truth[i][:, None], g.truth[j][None, :]
+    both_text = a.is_text[i][:, None] & g.is_text[j][None, :]
+    both_num = ~a.is_text[i][:, None] & ~g.is_text[j][None, :]
+    out = both_text & (a.text[i][:, None] == g.text[j][None, :])
+    if both_num.any():
+        an, gn = a.number[i][:, None], g.number[j][None, :]
+        rounded = np.broadcast_to(an, both_num.shape).copy()
+        for places in np.unique(g.places[j]):
+            if places >= 0:
+                rounded[:, g.places[j] == places] = np.round(an, places)
+        with np.errstate(invalid="ignore"):
+            gap = np.abs(rounded - gn)
+            rel = slack * (GEOM_REL_TOL if geometry else REL_TOL)
+            room = np.maximum(rel * np.maximum(np.abs(rounded), np.abs(gn)), ABS_TOL)
+            near = (rounded == gn) | (np.isfinite(rounded) & np.isfinite(gn) & (gap <= room))
+        aw, gw = a.whole[i][:, None], g.whole[j][None, :]
+        if geometry or slack > 1:
+            whole = np.abs(aw - gw) <= slack * np.maximum(GEOM_INT_SLACK, GEOM_INT_SHARE * np.abs(gw))
+        else:
+            whole = aw == gw
+        both_int = a.is_int[i][:, None] & g.is_int[j][None, :]
+        out = np.where(both_int, whole, np.where(both_num, near, out))
     worded = ~np.isnan(a.word[i])[:, None] | ~np.isnan(g.word[j])[None, :]
-    return np.where(worded & ~np.isnan(at) & ~np.isnan(gt), at == gt, out)
+    if worded.any():
+        at, gt = a.truth[i][:, None], g.truth[j][None, :]
+        out = np.where(worded & ~np.isnan(at) & ~np.isnan(gt), at == gt, out)
+    return out
+
+
+def match_grid(answer: list, golden: list, geometry: bool, slack: float) -> list[list[np.ndarray]]:
+    """Match matrices of every answer column with every golden column."""
+    codes: dict[str, int] = {}
+    a, g = Columns(answer, codes), Columns(golden, codes)
+    return [[match_matrix(a, i, g, j, geometry, slack) for j in range(g.width)] for i in range(a.width)]
 
 
 def _assign(rows: np.ndarray) -> bool:
@@ -83,17 +97,16 @@ def _assign(rows: np.ndarray) -> bool:
     return True
 
 
-def same_table(answer: list, golden: list, geometry: bool, slack: float = 1.0) -> bool:
+def same_table(grid: list[list[np.ndarray]]) -> bool:
     """Some column permutation under which every row finds a partner.
 
     Columns are placed one at a time; a partial placement that already leaves a row
     without any partner is given up, so most permutations are never formed.
     """
-    a, g = Columns(answer), Columns(golden)
-    grid = [[match_matrix(a, i, g, j, geometry, slack) for j in range(g.width)] for i in range(a.width)]
+    width = len(grid)
 
     def place(j: int, left: frozenset, rows: np.ndarray) -> bool:
-        if j == g.width:
+        if j == width:
             return _assign(rows)
         for i in sorted(left):
             both = rows & grid[i][j]
@@ -101,22 +114,21 @@ def same_table(answer: list, golden: list, geometry: bool, slack: float = 1.0) -
                 return True
         return False
 
-    return place(0, frozenset(range(a.width)), np.ones((len(answer), len(golden)), dtype=bool))
+    return place(0, frozenset(range(width)), np.ones(grid[0][0].shape, dtype=bool))
 
 
-def best_alignment(answer: list, golden: list, geometry: bool) -> tuple[tuple, list[tuple[int, int]]]:
+def best_alignment(grid: list[list[np.ndarray]]) -> tuple[tuple, list[tuple[int, int]]]:
     """Permutation and row pairs with the fewest differing cells, rows paired greedily."""
-    a, g = Columns(answer), Columns(golden)
-    grid = [[match_matrix(a, i, g, j, geometry, 1.0) for j in range(g.width)] for i in range(a.width)]
-    identity = tuple(range(g.width))
-    orders = itertools.permutations(identity) if g.width <= FREE_COLUMNS else [identity]
+    width, identity = len(grid), tuple(range(len(grid)))
+    misses = [[(~m).astype(np.int64) for m in row] for row in grid]
+    orders = itertools.permutations(identity) if width <= FREE_COLUMNS else [identity]
     best = None
     for order in orders:
-        cost = sum((~grid[i][j]).astype(int) for j, i in enumerate(order)).T
-        taken = np.zeros(len(answer), dtype=bool)
+        cost = sum(misses[i][j] for j, i in enumerate(order)).T
+        taken = np.zeros(cost.shape[1], dtype=bool)
         pairs, total = [], 0
         for k, row in enumerate(cost):
-            pick = int(np.argmin(np.where(taken, a.width + 1, row)))
+            pick = int(np.argmin(np.where(taken, width + 1, row)))
             taken[pick] = True
             pairs.append((k, pick))
             total += int(row[pick])
@@ -127,22 +139,23 @@ def best_alignment(answer: list, golden: list, geometry: bool) -> tuple[tuple, l
     return best[1], best[2]
 
 
-def cell_differences(answer: list, golden: list, geometry: bool, header: list[str]) -> list[dict]:
-    order, pairs = best_alignment(answer, golden, geometry)
+def cell_differences(
+    answer: list, golden: list, strict: list[list[np.ndarray]], near: list[list[np.ndarray]], header: list[str]
+) -> list[dict]:
+    """One record per differing cell of the best alignment."""
+    order, pairs = best_alignment(strict)
     out = []
     for g_row, a_row in pairs:
-        got = [answer[a_row][i] for i in order]
-        one, want = Columns([got]), Columns([golden[g_row]])
-        for j in range(want.width):
-            if match_matrix(one, j, want, j, geometry, 1.0)[0, 0]:
+        for j, i in enumerate(order):
+            if strict[i][j][a_row, g_row]:
                 continue
-            have, goal = one.number[j][0], want.number[j][0]
-            numeric = got[j]["kind"] != "s" and golden[g_row][j]["kind"] != "s" and goal != 0
+            got, want = answer[a_row][i], golden[g_row][j]
+            numeric = got["kind"] != "s" and want["kind"] != "s" and want["d"] != 0
             out.append({
                 "kind": "cell", "row": g_row,
                 "column": header[j] if j < len(header) else f"col{j}",
-                "golden": golden[g_row][j]["s"], "answer": got[j]["s"],
-                "rel_error": round(abs(have - goal) / abs(goal), 6) if numeric else None,
-                "near_miss": bool(match_matrix(one, j, want, j, geometry, float(NEAR_MISS_FACTOR))[0, 0]),
+                "golden": want["s"], "answer": got["s"],
+                "rel_error": round(abs(got["d"] - want["d"]) / abs(want["d"]), 6) if numeric else None,
+                "near_miss": bool(near[i][j][a_row, g_row]),
             })
     return out

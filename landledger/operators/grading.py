@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landledger.functions import cells as C
-from landledger.functions.pairing import cell_differences, same_table
+from landledger.functions.pairing import cell_differences, match_grid, same_table
 
 CORRECT, NEAR_MISS, WRONG = "correct", "near_miss", "wrong"
 MISSING, UNPARSEABLE = "missing", "unparseable"
@@ -88,12 +88,13 @@ def _grade_one(group: pd.DataFrame) -> pd.DataFrame:
     answer = [list(c) for c in group.loc[~group["is_golden"], "cells"]]
     golden = [list(c) for c in group.loc[group["is_golden"], "cells"]]
     geometry = bool(first["geometry"])
-    if same_table(answer, golden, geometry):
+    strict = match_grid(answer, golden, geometry, 1.0)
+    if same_table(strict):
         outcome, diffs = CORRECT, []
     else:
-        diffs = cell_differences(answer, golden, geometry, list(first["header"]))
-        near = same_table(answer, golden, geometry, float(C.NEAR_MISS_FACTOR))
-        outcome = NEAR_MISS if near else WRONG
+        near = match_grid(answer, golden, geometry, float(C.NEAR_MISS_FACTOR))
+        outcome = NEAR_MISS if same_table(near) else WRONG
+        diffs = cell_differences(answer, golden, strict, near, list(first["header"]))
     blank = dict.fromkeys(("golden_rows", "answer_rows", "golden_columns", "answer_columns"))
     rows = [{**d, **blank} for d in diffs]
     return pd.DataFrame({"run": [first["run"]], "qid": [first["qid"]], "outcome": [outcome], "diffs": [rows]})

@@ -161,15 +161,15 @@ def heartbeats(beats: DataFrame) -> DataFrame:
     return per_call.select("run", "tool_use_id", F.explode(folded).alias("shown_at"))
 
 
-def truncation_stats(readings: DataFrame, by: list[str]) -> DataFrame:
+def truncation_stats(readings: DataFrame, by: list[str], digits: int = 2) -> DataFrame:
     """Where incomplete responses stop, by bytes and by seconds; complete and failed ones do not count."""
     cut = readings.filter(~F.col("complete") & F.col("error").isNull())
     return cut.groupBy(*by).agg(
         F.count("*").alias("truncated"),
         F.floor(F.median("bytes")).alias("bytes_median"),
         (F.max("bytes") - F.min("bytes")).alias("bytes_spread"),
-        F.round(F.median("total"), 2).alias("seconds_median"),
-        F.round(F.max("total") - F.min("total"), 2).alias("seconds_spread"),
+        F.round(F.median("total"), digits).alias("seconds_median"),
+        F.round(F.max("total") - F.min("total"), digits).alias("seconds_spread"),
     )
 
 
