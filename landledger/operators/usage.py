@@ -111,7 +111,7 @@ def tool_subject(payload: Column) -> Column:
     """What a call is about: the first filled subject key, on one line, long paths shortened."""
 
     def line(key: str) -> Column:
-        text = F.trim(F.regexp_replace(F.get(payload, F.lit(key)), r"\s+", " "))
+        text = F.trim(F.regexp_replace(F.try_element_at(payload, F.lit(key)), r"\s+", " "))
         if key in ("file_path", "path"):
             slashes = F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit("")))
             text = F.when(slashes > 2, F.concat(F.lit(".../"), F.substring_index(text, "/", -2))).otherwise(text)

@@ -9,7 +9,7 @@ from landledger.functions import geometry as G
 from landledger.functions.wkb import from_wkb
 
 
-def _arrival() -> Column:
+def arrival() -> Column:
     """Sorts as the rows arrived: file, block within the file, position within the task."""
     return F.concat_ws(
         ":",
@@ -27,13 +27,13 @@ def read_csv_list(spark: SparkSession, path: str, id_column: str = "cod_imovel")
     def cell(name: str) -> Column:
         return F.col(name) if name in have else F.lit(None).cast("string")
 
-    return raw.select(_arrival().alias("row_id"), cell(id_column).alias("raw_id"), cell("geometry").alias("raw_wkt"))
+    return raw.select(arrival().alias("row_id"), cell(id_column).alias("raw_id"), cell("geometry").alias("raw_wkt"))
 
 
 def read_geometry_list(spark: SparkSession, path: str, id_column: str = "cod_imovel") -> DataFrame:
     raw = spark.read.parquet(path)
     ids = F.col(id_column) if id_column in raw.columns else F.lit(None).cast("string")
-    rows = raw.select(_arrival().alias("row_id"), ids.alias("raw_id"), from_wkb("geometry").alias("geometry"))
+    rows = raw.select(arrival().alias("row_id"), ids.alias("raw_id"), from_wkb("geometry").alias("geometry"))
     return rows.select("row_id", "raw_id", G.to_wkt(F.col("geometry")).alias("raw_wkt"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landledger.sources.lists import arrival
+
 BLOCK = (
     "struct<type:string,id:string,name:string,input:map<string,string>,tool_use_id:string,"
     "is_error:boolean,content:string>"
@@ -65,11 +67,9 @@ def split_csv_line(line: Column) -> Column:
 def read_answer_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """(file_path, line_no, cells) of CSV files; the least line of a file is its header."""
     raw = spark.read.text(pattern)
-    place = F.struct(
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-    )
     return raw.select(
-        F.col("_metadata.file_path").alias("file_path"), place.alias("place"), split_csv_line(F.col("value")).alias("cells")
+        F.col("_metadata.file_path").alias("file_path"), arrival().alias("place"),
+        split_csv_line(F.col("value")).alias("cells"),
     )
 
 
