@@ -233,8 +233,17 @@ def meets_box(flat_edges: Column, frame: tuple, swap: bool = False) -> Column:
 
 def with_shape(df: DataFrame, geom: str = "geometry") -> DataFrame:
     """Add bounds, planar area, edge list and whether the shape is its own bounding box."""
-    out = df.withColumns(bounds(F.col(geom)))
-    out = out.withColumn("area", area(F.col(geom)))
+    # The coordinate lists are columns of their own so that each is built once per row.
+    pts = df.withColumn("_pts", F.flatten(F.transform(F.col(geom)["rings"], lambda r: r["pts"])))
+    out = pts.withColumns(
+        {"_xs": F.transform("_pts", lambda p: p["x"]), "_ys": F.transform("_pts", lambda p: p["y"])}
+    ).withColumns(
+        {
+            "xmin": F.array_min("_xs"), "ymin": F.array_min("_ys"),
+            "xmax": F.array_max("_xs"), "ymax": F.array_max("_ys"),
+        }
+    )
+    out = out.withColumn("area", area(F.col(geom))).drop("_pts", "_xs", "_ys")
     return out.withColumns(
         {
             "is_box": (F.col("area") > 0)

@@ -172,6 +172,10 @@ def overlap_area(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.float64())
 
 
+# Keeps the optimizer from running the kernel once for a filter and again for the column.
+overlap_area = overlap_area.asNondeterministic()
+
+
 def union_area(gap: float):
     """Arrow UDF: area of a field inside the union of its (widened) pieces."""
 
@@ -183,7 +187,7 @@ def union_area(gap: float):
             out.append(cover(_as_edges(f), parts))
         return pa.array(out, type=pa.float64())
 
-    return covered
+    return covered.asNondeterministic()
 
 
 def union_region(gap: float):
@@ -197,4 +201,4 @@ def union_region(gap: float):
             out.append(cover(_as_edges(f), parts, as_region=True).ravel())
         return pa.array(out, type=pa.list_(pa.float64()))
 
-    return region
+    return region.asNondeterministic()

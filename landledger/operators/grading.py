@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from landledger.functions import cells as C
 from landledger.functions.pairing import cell_differences, match_grid, same_table
+from landledger.session import kernel_partitions
 
 CORRECT, NEAR_MISS, WRONG = "correct", "near_miss", "wrong"
 MISSING, UNPARSEABLE = "missing", "unparseable"
@@ -78,7 +79,8 @@ def grade(expected: DataFrame, answers: DataFrame, golden: DataFrame, questions:
     sides = given.join(comparable, ["run", "qid"]).unionByName(
         asked.join(comparable, "qid").select("run", "qid", "row_no", "cells", "is_golden", "geometry", "header")
     )
-    compared = sides.groupBy("run", "qid").applyInPandas(_grade_one, GRADED)
+    spread = sides.repartition(kernel_partitions(sides.sparkSession), "run", "qid")
+    compared = spread.groupBy("run", "qid").applyInPandas(_grade_one, GRADED)
     return settled.unionByName(compared)
 
 

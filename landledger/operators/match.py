@@ -12,6 +12,7 @@ from landledger.plans.skew import HOT_ROWS, attach, top_per_group
 from landledger.plans.spatial import box_pairs, pair_area
 from landledger.plans.stages import Stages
 from landledger.policy import ERAS, FIELD_LABELS, Policy
+from landledger.session import kernel_partitions
 
 # Pieces handled by one kernel call. More pieces are merged chunk by chunk first.
 FAN_IN = 64
@@ -150,6 +151,7 @@ def union_fraction(
         partial.filter(~simple)
         .withColumn("_chunks", F.ceil(F.col("pieces") / FAN_IN))
         .withColumn("_chunk", F.pmod(F.xxhash64("_copy"), F.col("_chunks")))
+        .repartition(kernel_partitions(fields.sparkSession), "Id", "_chunk")
         .groupBy("Id", "_chunk", "_chunks")
         .agg(F.collect_list("piece").alias("pieces"), F.first("field_edges").alias("field_edges"))
     )

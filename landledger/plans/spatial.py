@@ -104,14 +104,16 @@ def box_pairs(
 def pair_area(pairs: DataFrame, overlap) -> Column:
     """Shared area of the carried shapes; null where they do not even touch.
 
-    Two boxes need no kernel. Their edges are not sent to Python.
+    Two boxes need no kernel. Empty lists go to Python for them, not nulls: Arrow writes
+    a run of null lists in quadratic time.
     """
+    nothing = F.array().cast("array<double>")
     both_box = F.col("l_is_box") & F.col("r_is_box")
     width = F.least("l_xmax", "r_xmax") - F.greatest("l_xmin", "r_xmin")
     height = F.least("l_ymax", "r_ymax") - F.greatest("l_ymin", "r_ymin")
     general = overlap(
-        F.when(~both_box, F.col("l_edges")),
-        F.when(~both_box, F.col("r_edges")),
+        F.when(~both_box, F.col("l_edges")).otherwise(nothing),
+        F.when(~both_box, F.col("r_edges")).otherwise(nothing),
     )
     return F.when(both_box, F.when((width >= 0) & (height >= 0), width * height)).otherwise(general)
 

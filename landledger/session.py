@@ -24,6 +24,11 @@ def build_session(app: str = "landledger", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def kernel_partitions(spark: SparkSession) -> int:
+    """Tasks for a step that computes much per byte; adaptive coalescing would go by bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a private one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
