@@ -20,6 +20,7 @@ from landledger.operators import resolve as R
 from landledger.operators import rollups as V
 from landledger.operators import stages as S
 from landledger.operators import usage as U
+from landledger.plans.spread import spread
 from landledger.plans.stages import Stages
 from landledger.policy import price_table
 from landledger.portfolio import Portfolio
@@ -188,7 +189,10 @@ def cell_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 6, F.concat(F.lit(" KIND "), F.when(quantity % 2 == 0, F.lower(flag)).otherwise(F.lit("?"))))
         .otherwise((quantity + quantity % 4).cast("string"))
     )
-    cells = D.table(spark, sf_dir, "lineitem").select(
+    lines = D.table(spark, sf_dir, "lineitem").select(
+        "l_linenumber", "l_extendedprice", "l_returnflag", "l_quantity"
+    )
+    cells = spread(lines).select(
         "l_linenumber", K.parse(answer).alias("a"), K.parse(golden).alias("g")
     )
     a, g = F.col("a"), F.col("g")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landledger.functions import geometry as G
+from landledger.plans.spread import spread
 from landledger.policy import CATCHMENT, ERAS, INTAKE, MEMBERSHIP, MILL, SLAUGHTER, Policy
 
 # On the plane one unit is one kilometre, and neighbours are not bridged.
@@ -48,7 +49,8 @@ def parcel_id(k: Column) -> Column:
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     x, y = 10 * (k % 100) + k % 3, -10 * _div(k, 100) - 20
-    base = table(spark, sf_dir, "part").select(
+    raw = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"))
+    base = raw.select(
         k.alias("row_key"),
         parcel_id(k).alias("cod_imovel"),
         (F.col("p_size") / 8.0).alias("num_area"),
@@ -75,7 +77,8 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, 1000 * (price % 11)).otherwise(zero),
         F.when(k % 6 == 0, 1000 * (price % 13)).otherwise(zero),
     ]
-    raw = table(spark, sf_dir, "orders").select(
+    source = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+    raw = source.select(
         k.alias("Id"),
         F.get(classes, (k % 14).cast("int")).alias("mbmode24"),
         F.when(k % 9 != 0, 2001 + k % 24).cast("double").alias("mode_year"),
@@ -318,7 +321,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         title = F.concat(F.repeat(F.lit("#"), n % 3 + 1), F.lit(" T"), (n % 23).cast("string"))
         return F.when(n % 17 == 5, "```").when(n % 3 == 1, title).when(n % 7 == 2, "").otherwise(line)
 
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"),
         F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("text"),
     )
