@@ -123,25 +123,20 @@ def resolve(prepared: DataFrame, parcels: DataFrame, policy: Policy, stages: Sta
     best = top_per_group(fractions, ["row_id"], [F.col("frac").desc(), F.col("cod_imovel")])
     polygon_hits = best.select("row_id", F.col("cod_imovel").alias("polygon_id"))
 
-    by_polygon = F.col("polygon_id").isNotNull()
-    by_point = F.coalesce(F.col("n_parcels") == 1, F.lit(False))
+    sole = point_hits.filter(F.col("n_parcels") == 1).select("row_id", F.col("point_id"))
+    found = F.coalesce("polygon_id", "point_id")
     bucket = (
         F.when(F.col("duplicate"), "duplicates_removed")
         .when(F.col("raw_id").isNotNull(), "resolved_clean")
-        .when(F.col("geometry").isNull(), "unresolvable")
-        .when(F.col("axis_flipped") & (by_polygon | by_point), "axis_repaired")
-        .when(by_point, "centroid_resolved")
-        .when(by_polygon, "geometry_resolved")
-        .otherwise("unresolvable")
+        .when(found.isNull(), "unresolvable")
+        .when(F.col("axis_flipped"), "axis_repaired")
+        .when(F.col("point_id").isNotNull(), "centroid_resolved")
+        .otherwise("geometry_resolved")
     )
     resolved = (
         prepared.join(polygon_hits, "row_id", "left")
-        .join(point_hits, "row_id", "left")
-        .select(
-            "row_id",
-            F.coalesce("raw_id", "polygon_id", F.when(by_point, F.col("point_id"))).alias("cod_imovel"),
-            bucket.alias("resolution"),
-        )
+        .join(sole, "row_id", "left")
+        .select("row_id", F.coalesce(F.col("raw_id"), found).alias("cod_imovel"), bucket.alias("resolution"))
     )
     return Resolution(prepared, hits, resolved)
 
