@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landledger.llm import decontaminate, near, packing, quality, token_store
+from landledger.llm import decontaminate, language, near, packing, quality, scoring, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,6 +37,22 @@ def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents", "doc_id", "text")).drop("rejected_by")
 
 
+def fold(n: int, held: int):
+    """Whether a document is held out, by its id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == held, F.lit(False))
+
+
+@query
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language.predict(docs, language.learn(docs.where(~fold(4, 2))), also={"held_out": fold(4, 2)})
+
+
+@query
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold(5, 1))
+
+
 @query
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
