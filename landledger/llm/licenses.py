@@ -32,10 +32,8 @@ PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license versio
 TEMPLATES = [
     *PHRASES,
     ("gpl", "gnu general public license version"),
-    ("lgpl", "gnu lesser general public license version"),
-    ("agpl", "gnu affero general public license version"),
     ("mpl-2", "mozilla public license version 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification"),
+    ("bsd", "redistribution and use in source and binary forms"),
     ("cc-by-sa", "creative commons attribution sharealike license"),
     ("epl", "eclipse public license version"),
 ]
