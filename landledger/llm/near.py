@@ -183,7 +183,8 @@ def classes(rows: DataFrame, names: dict[str, str], text: str = "text") -> DataF
     slim = rows.select(c["row"].alias("row"), c["key1"].alias("key1"), c["key2"].alias("key2"), c["size"].alias("size"), c["prefixes"].alias("prefixes"))
     filled = slim.where("size > 0")
     keys = ["key1", "key2", "size"]
-    reps = staged(filled.groupBy(*keys).agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min_by("prefixes", "row").alias("prefixes")), "reps")
+    first_row = filled.groupBy(*keys).agg(F.min(F.struct("row", "prefixes")).alias("first"), F.count("*").alias("copies"))
+    reps = staged(first_row.select(*keys, F.col("first.row").alias("rep"), "copies", F.col("first.prefixes").alias("prefixes")), "reps")
     shared = reps.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
     first = shared.groupBy("tree", "prefix").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1")
     candidates = components(shared.join(first, ["tree", "prefix"]).select(F.col("rep").alias("u"), "v"))
