@@ -16,7 +16,7 @@ def _licenses() -> str:
     words = ", ".join(f"('{label}', '{w}')" for label, body in TEMPLATES for w in sorted(set(body.split())))
     sizes = ", ".join(f"('{label}', {len(set(body.split()))}, {_needed(len(set(body.split())))})" for label, body in TEMPLATES)
     spots = " UNION ALL ".join(
-        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(ws)), i -> "
+        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(ws)), lambda i: "
         + " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(body.split())) + ")) AS pos FROM w"
         for label, body in PHRASES
     )
@@ -40,7 +40,7 @@ def _licenses() -> str:
 QUALITY = r"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
     w AS (SELECT doc_id, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws,
-                 list_filter(string_split(body, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+                 list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
     windows AS (SELECT doc_id, unnest(range(len(ws) - 2)) AS pos, ws FROM w WHERE len(ws) > 2),
     triple AS (SELECT doc_id, pos, [ws[pos + 1], ws[pos + 2], ws[pos + 3]] AS three FROM windows),
     again AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, three) AS n FROM triple),
@@ -61,8 +61,8 @@ JACCARD = f"""
     s AS (SELECT DISTINCT doc_id, array_to_string(ws[pos:pos + 4], ' ') AS shingle
           FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS pos FROM w WHERE len(ws) > 0)),
     n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
-    both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-    link AS (SELECT a, b FROM both JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 5 * shared >= 4 * (x.size + y.size - shared)),
+    pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM pair JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 5 * shared >= 4 * (x.size + y.size - shared)),
     reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
     least AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
     many AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
