@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landledger.llm.shared import sample_texts
+
 #: Labelled pages that the weights are learned from, at most.
 LABELLED_PAGES = 400
 TOKEN = re.compile(
@@ -115,7 +117,7 @@ def count_labelled(page: str) -> tuple[Counter, Counter] | None:
 def learn(pages: DataFrame, text: str = "html", limit: int = LABELLED_PAGES) -> dict[str, float]:
     """Weights of item kinds: log-odds inside an article, above 0 for words and below 0 for tags."""
     inside, outside = Counter(), Counter()
-    for (page,) in pages.where(F.col(text).rlike("(?i)<(article|main)[ >]")).select(text).orderBy(F.xxhash64(text)).limit(limit).collect():
+    for page in sample_texts(pages.where(F.col(text).rlike("(?i)<(article|main)[ >]")), text, limit):
         found = count_labelled(page)
         if found:
             inside += found[0]

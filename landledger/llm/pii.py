@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landledger.llm.shared import slices, text_bytes
+from landledger.llm.shared import sample_texts, slices, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Sampled documents with a digit or `@`, and characters taken around each one's marks.
@@ -276,9 +276,8 @@ class Tagger:
 
 def train(docs: DataFrame, text: str = "text") -> Tagger | None:
     """From the rules' shapes in at most SAMPLE_TEXTS documents (by hash of the text) and SAMPLE_WINDOWS windows."""
-    rows = docs.where(F.col(text).rlike("[0-9@]")).select(text).orderBy(F.xxhash64(text), text).limit(SAMPLE_TEXTS).collect()
     windows, labels = [], []
-    for (body,) in rows:
+    for body in sample_texts(docs.where(F.col(text).rlike("[0-9@]")), text, SAMPLE_TEXTS):
         codes = _codes(body)
         starts = _starts(codes)[:8]
         windows.append(_cut(codes, starts))

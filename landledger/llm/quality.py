@@ -18,9 +18,8 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from landledger.llm.shared import slices, text_bytes
+from landledger.llm.shared import sample_texts, slices, text_bytes
 from landledger.llm.textscan import SOLID, mix, shingles, span_hashes, word_spans
 
 SAMPLE = 400
@@ -131,7 +130,7 @@ RULES: dict[str, Rule] = {
 
 def order_rules(docs: DataFrame, rules: dict[str, Rule], text: str = "text", sample: int = SAMPLE) -> list[str]:
     """Rule names, most rejections per second first, as measured on the sample."""
-    column = pa.array([r[0] for r in docs.select(text).orderBy(F.xxhash64(text)).limit(sample).collect()], pa.string())
+    column = pa.array(sample_texts(docs, text, sample), pa.string())
     if not len(column):
         return list(rules)
     worth = {}

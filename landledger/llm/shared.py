@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A slice of a batch holds at most so many text bytes, or one row.
 SLICE_BYTES = 4 << 20
@@ -75,3 +76,11 @@ def fresh(taken: list[str], name: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def sample_texts(df: DataFrame, text: str, rows: int) -> list[str]:
+    """Up to `rows` different texts, those of certain hashes; only about that many leave the executors."""
+    df = df.where(F.col(text).isNotNull())
+    step = max(1, df.count() // rows)
+    mark = F.pmod(F.xxhash64(text), F.lit(step)) == 0
+    return [r[0] for r in df.where(mark).select(text).distinct().orderBy(F.xxhash64(text), text).limit(rows).collect()]

@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, path: str, end: int = 0, text: str = "text", ke
 
 
 def _bit(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+    return (mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)).astype(np.int64)
 
 
 def minimal_perfect_hash(keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
