@@ -268,6 +268,19 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 _with_grades("eligible_questions", lambda meta, grades, qs: S.eligible(grades, qs))
+@query
+def eligible_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain as long as the nation table: each nation depends on the one before; suppliers answer all of them."""
+    nations = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    before = F.when(F.col("n") > 0, F.array(F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))
+    chain = nations.select(F.col("n").cast("string").alias("qid"), before.cast("array<string>").alias("depends_on"))
+    count = F.expr("sequence(0L, 24L)")
+    runs = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run"), F.explode(count).alias("n"))
+    right = (F.col("run") * 7 + F.col("n")) % 23 != 0
+    grades = runs.select("run", F.col("n").cast("string").alias("qid"), F.when(right, "correct").otherwise("wrong").alias("outcome"))
+    return S.eligible(grades, chain)
+
+
 _with_grades("stage_accuracy", lambda meta, grades, qs: _rounded(S.stage_accuracy(grades, qs)))
 _with_grades(
     "stage_means",
@@ -324,10 +337,10 @@ def slow_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tool_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_run = U.tool_timings(U.longest_calls(D.transcript(spark, sf_dir)))
-    return per_run.withColumn("slow_tool_seconds_by_tool", F.size("slow_tool_seconds_by_tool")).withColumnRenamed(
-        "slow_tool_seconds_by_tool", "n_tools"
-    )
+    records = D.transcript(spark, sf_dir)
+    per_run = U.tool_timings(U.longest_calls(records), records)
+    told = F.transform(F.map_entries("slow_tool_seconds_by_tool"), lambda e: F.format_string("%s=%.1f", e["key"], e["value"]))
+    return per_run.withColumn("by_tool", F.array_join(told, ";")).drop("slow_tool_seconds_by_tool")
 
 
 @query

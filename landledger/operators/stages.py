@@ -7,24 +7,30 @@ from pyspark.sql import functions as F
 
 from landledger.operators.grading import CORRECT, NEAR_MISS
 from landledger.plans.skew import top_per_group
+from landledger.session import cut_lineage
 
-MAX_STAGES = 8
 SCORED = ["done", "incomplete"]
 
 
-def transitive_dependencies(questions: DataFrame, depth: int = MAX_STAGES) -> DataFrame:
-    """(qid, dep) over all paths. A dependency lies in an earlier stage, so depth is bounded by the stages.
+def transitive_dependencies(questions: DataFrame) -> DataFrame:
+    """(qid, dep) over all paths, however long. Questions that depend on themselves are an error.
 
-    Paths double in length each round: after r rounds every path up to 2**r steps is present.
+    Paths double in length each round, until a round finds no new pair. The spec's table is small; each round is
+    checkpointed, so the plan does not grow with the rounds.
     """
-    paths = questions.select("qid", F.explode("depends_on").alias("dep")).distinct()
-    reach = 1
-    while reach < depth:
+    paths = cut_lineage(questions.select("qid", F.explode("depends_on").alias("dep")).distinct())
+    known = paths.count()
+    while True:
         onward = paths.select(F.col("qid").alias("dep"), F.col("dep").alias("_next"))
         further = paths.join(onward, "dep").select("qid", F.col("_next").alias("dep"))
-        paths = paths.unionByName(further).distinct()
-        reach *= 2
-    return paths
+        paths = cut_lineage(paths.unionByName(further).distinct())
+        loops = paths.filter("qid = dep").select("qid").limit(1).collect()
+        if loops:
+            raise ValueError(f"{loops[0].qid} depends on itself")
+        found = paths.count()
+        if found == known:
+            return paths
+        known = found
 
 
 def eligible(grades: DataFrame, questions: DataFrame) -> DataFrame:

@@ -33,14 +33,14 @@ def usage_totals(records: DataFrame) -> DataFrame:
 
 
 def imputed_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Token counts at list price; ``usage`` carries a model column. The price list is tiny."""
+    """Token counts at list price; ``usage`` carries a model column. A model without a price keeps its row, with no cost."""
     cost = (
         F.col("input_tokens") * F.col("input_per_mtok")
         + F.col("output_tokens") * F.col("output_per_mtok")
         + F.col("cache_creation_tokens") * F.col("input_per_mtok") * CACHE_WRITE_FACTOR
         + F.col("cache_read_tokens") * F.col("input_per_mtok") * CACHE_READ_FACTOR
     ) * 1e-6
-    return usage.join(F.broadcast(prices), "model").withColumn("imputed_cost_usd", cost).drop(
+    return usage.join(prices, "model", "left").withColumn("imputed_cost_usd", cost).drop(
         "input_per_mtok", "output_per_mtok"
     )
 
@@ -65,13 +65,16 @@ def slow_calls_by_tool(calls: DataFrame) -> DataFrame:
     )
 
 
-def tool_timings(calls: DataFrame) -> DataFrame:
-    """Per run: slow calls, their seconds, seconds per tool as a map, and calls that were killed."""
+def tool_timings(calls: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per run: slow calls, their seconds, seconds per tool as a map, and calls that were killed.
+
+    Every run of ``runs`` has a row; one without a heartbeat has zeros and an empty map.
+    """
     per_tool = calls.groupBy("run", "tool").agg(
         F.count("*").alias("n"), F.sum("seconds").alias("s"),
         F.count_if(F.col("seconds") >= TOOL_TIMEOUT_SECONDS).alias("killed"),
     )
-    return per_tool.groupBy("run").agg(
+    timed = per_tool.groupBy("run").agg(
         F.sum("n").alias("slow_tool_calls"),
         F.round(F.sum("s"), 1).alias("slow_tool_seconds"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", F.round("s", 1))))).alias(
@@ -79,12 +82,19 @@ def tool_timings(calls: DataFrame) -> DataFrame:
         ),
         F.sum("killed").alias("timed_out_tool_calls"),
     )
+    none = F.create_map().cast("map<string,double>")
+    return runs.select("run").distinct().join(timed, "run", "left").select(
+        "run", F.coalesce("slow_tool_calls", F.lit(0)).alias("slow_tool_calls"),
+        F.coalesce("slow_tool_seconds", F.lit(0.0)).alias("slow_tool_seconds"),
+        F.coalesce("slow_tool_seconds_by_tool", none).alias("slow_tool_seconds_by_tool"),
+        F.coalesce("timed_out_tool_calls", F.lit(0)).alias("timed_out_tool_calls"),
+    )
 
 
 def last_seen(records: DataFrame, value: str) -> DataFrame:
-    """Last non-empty value per run in arrival order; arrival is unique within a run."""
-    kept = records.filter(F.coalesce(F.col(value), F.lit("")) != "")
-    return kept.groupBy("run").agg(F.max(F.struct("arrival", value)).alias("last")).select("run", f"last.{value}")
+    """Last non-empty value per run in arrival order, null where a run has none; arrival is unique within a run."""
+    kept = F.when(F.coalesce(F.col(value), F.lit("")) != "", F.struct("arrival", value))
+    return records.groupBy("run").agg(F.max(kept).alias("last")).select("run", f"last.{value}")
 
 
 def progress(records: DataFrame) -> DataFrame:
@@ -141,9 +151,12 @@ def call_pairs(records: DataFrame) -> DataFrame:
 def heartbeats(beats: DataFrame) -> DataFrame:
     """Elapsed marks that would be shown: one once 60 seconds passed since the last one shown.
 
-    Marks are folded per call in order of arrival. A call beats every few seconds for at most
-    its time limit, so its list of marks is short by nature; equal marks are dropped first.
+    A call started by another one beats under its parent's id. Marks are folded per call in order
+    of arrival. A call beats every few seconds for at most its time limit, so its list of marks is
+    short by nature; equal marks are dropped first.
     """
+    if "parent_tool_use_id" in beats.columns:
+        beats = beats.withColumn("tool_use_id", F.coalesce("parent_tool_use_id", "tool_use_id"))
     marks = beats.groupBy("run", "tool_use_id", "seconds").agg(F.min("arrival").alias("arrival"))
     per_call = marks.groupBy("run", "tool_use_id").agg(
         F.array_sort(F.collect_list(F.struct("arrival", "seconds"))).alias("marks")

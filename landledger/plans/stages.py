@@ -25,16 +25,24 @@ class Stages:
         self.written: dict[str, DataFrame] = {}
 
     @classmethod
-    def of(cls, spark: SparkSession, name: str) -> "Stages":
-        """The stages of one input within one application."""
+    def of(cls, spark: SparkSession, name: str, *settings: object) -> "Stages":
+        """The stages of one input under the given settings within one application."""
+        name = "|".join([name, *map(repr, settings)])
         key = (spark.sparkContext.applicationId, name)
         if key not in cls._open:
             cls._open[key] = cls(spark, name)
         return cls._open[key]
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a table that the plan reads more than once."""
-        return self.table(name, lambda: df)
+        """Write a table that the plan reads more than once. Another plan under the same name is another table."""
+        return self.table(f"{name}-{df.semanticHash() & 0xFFFFFFFF:08x}", lambda: df)
+
+    def drop(self) -> None:
+        """Delete the written tables; frames that read them are of no use afterwards."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.written.clear()
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self.written:

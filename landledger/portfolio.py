@@ -17,11 +17,11 @@ from landledger.policy import routing_table, scope_table
 
 
 class Portfolio:
-    """Every stage is built at most once per application and input."""
+    """Every stage is built at most once per application, input and policy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, policy=derive.PLANE):
         self.spark, self.sf_dir, self.policy = spark, sf_dir, policy
-        self.stages = Stages.of(spark, sf_dir)
+        self.stages = Stages.of(spark, sf_dir, policy)
 
     @property
     def scope(self) -> DataFrame:

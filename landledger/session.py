@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,15 @@ def kernel_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is named."""
+    """The shared folder named by the cluster; a private one only on a local master, where all tasks see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="landledger-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master or 'the cluster'} share")
+    root = tempfile.mkdtemp(prefix="landledger-")
+    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
