@@ -220,8 +220,10 @@ def test_heartbeats_count_once_per_call(spark):
     df = records(spark, [("r", 1, beat, "a", "Bash", 30.0), ("r", 2, beat, "a", "Bash", 60.0), ("r", 3, beat, "b", None, 130.0),
                          ("r", 4, beat, "a", "Bash", 90.0), ("r", 5, beat, None, "Bash", 500.0), ("r", 6, "assistant", None, None, None)])
     calls = U.longest_calls(df)
-    row = U.tool_timings(calls).first()
-    assert row[:] == ("r", 2, 220.0, {"Bash": 90.0, "unknown": 130.0}, 1)
+    idle = records(spark, [("idle", 1, "assistant", None, None, None)])
+    timed = {r.run: r for r in U.tool_timings(calls, df.unionByName(idle)).collect()}
+    assert timed["r"][:] == ("r", 2, 220.0, {"Bash": 90.0, "unknown": 130.0}, 1)
+    assert timed["idle"][:] == ("idle", 0, 0.0, {}, 0)
     shown = U.heartbeats(df.filter("type = 'tool_progress' and tool_use_id is not null").withColumn("seconds", F.col("elapsed_time_seconds")))
     assert {(r.tool_use_id, r.shown_at) for r in shown.collect()} == {("a", 60.0), ("b", 130.0)}
 

@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from landledger.functions import geometry as G
@@ -101,31 +102,65 @@ def test_transcripts_tolerate_a_half_line(spark):
     assert [(r.run, r.type) for r in got] == [("opus/r1", "tool_progress"), ("opus/r1", "assistant")]
 
 
-def test_followed_stream(spark):
-    root = folder()
-    first = [beat("s", "a", 30.0, 1), beat("s", "a", 70.0, 2), beat("s", "b", 20.0, 2, "Read"),
-             block("s", 1, type="tool_use", id="a", name="Bash")]
-    second = [beat("s", "a", 100.0, 3), beat("s", "a", 131.0, 4), block("s", 5, type="tool_result", tool_use_id="a", is_error=True)]
-    for i, rows in enumerate((first, second)):
-        put(f"{root}/in/{i}.json", "\n".join(map(json.dumps, rows)) + "\n")
-
-    def run(df, name, mode="append", writer=None):
-        sink = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/cp-{name}")
+class Stream:
+    """Two parts of a session's transcript, landed one after the other, in either order of reading."""
+
+    def __init__(self, spark, order):
+        self.spark, self.root = spark, folder()
+        first = [beat("s", "a", 30.0, 1), beat("s", "a", 70.0, 2), beat("s", "b", 20.0, 2, "Read"),
+                 block("s", 1, type="tool_use", id="a", name="Bash"), block("s", 3, type="tool_use", id="open", name="Read")]
+        second = [beat("s", "a", 100.0, 3), beat("s", "a", 131.0, 4), block("s", 59, type="tool_result", tool_use_id="a", is_error=True)]
+        path = f"{self.root}/runs/opus/r1/transcript.jsonl"
+        text = "".join(json.dumps(r) + "\n" for r in first)
+        put(path, text + '{"type": "tool_pro')  # the session is writing its next line
+        ST.land(spark, f"{self.root}/runs", f"{self.root}/landed")
+        put(path, text + "".join(json.dumps(r) + "\n" for r in second) + '{"half')
+        ST.land(spark, f"{self.root}/runs", f"{self.root}/landed")
+        ST.land(spark, f"{self.root}/runs", f"{self.root}/landed")
+        files = sorted((p for p in os.listdir(f"{self.root}/landed") if p.endswith(".parquet")), key=lambda p: os.path.getmtime(f"{self.root}/landed/{p}"))
+        for k, p in enumerate(files if order == "as written" else files[::-1]):
+            os.utime(f"{self.root}/landed/{p}", (1_700_000_000 + 60 * k,) * 2)
+        self.records = ST.follow(spark, f"{self.root}/landed", files_per_trigger=1)
+
+    def run(self, df, name, writer=None):
+        sink = df.writeStream.outputMode("update").option("checkpointLocation", f"{self.root}/cp-{name}")
         sink = sink.foreachBatch(writer) if writer else sink.format("memory").queryName(name)
         q = sink.trigger(availableNow=True).start()
-        q.awaitTermination(60)
+        q.awaitTermination(120)
         assert q.exception() is None
-        return None if writer else spark.table(name)
+        return None if writer else self.spark.table(name)
+
+
+@pytest.fixture(params=["as written", "reversed"])
+def stream(spark, request):
+    return Stream(spark, request.param)
+
+
+def test_growing_transcript_lands_each_line_once(spark, stream):
+    rows = spark.read.parquet(f"{stream.root}/landed").orderBy("start").collect()
+    assert [(r.run, r.stop) for r in rows][-1] == ("opus/r1", rows[-1].start + len(rows[-1].value) + 1)
+    assert len(rows) == 8 and [r.start for r in rows] == [0, *[r.stop for r in rows][:-1]]
+
 
-    def records():
-        return ST.follow(spark, f"{root}/in", files_per_trigger=1)
+def test_heartbeats_as_a_stream(stream):
+    shown = ST.latest(stream.run(ST.heartbeat_stream(stream.records), "beats"), ["run", "tool_use_id"], "n_marks")
+    assert {(r.run, r.tool_use_id): r.shown for r in shown.collect()} == {("opus/r1", "a"): [70.0, 131.0], ("opus/r1", "b"): []}
 
-    shown = run(ST.heartbeat_stream(records()), "beats")
-    assert sorted((r.tool_use_id, r.shown_at) for r in shown.collect()) == [("a", 70.0), ("a", 131.0)]
-    run(ST.call_maxima(records()), "maxima", "update", ST.upsert_maxima(f"{root}/maxima"))
-    totals = {r.tool: (r.slow_tool_calls, r.slow_tool_seconds) for r in ST.tool_totals(spark, f"{root}/maxima").collect()}
+
+def test_tool_totals_as_a_stream(spark, stream):
+    stream.run(ST.call_maxima(stream.records), "maxima", ST.upsert_maxima(f"{stream.root}/maxima"))
+    totals = {r.tool: (r.slow_tool_calls, r.slow_tool_seconds) for r in ST.tool_totals(spark, f"{stream.root}/maxima").collect()}
     assert totals == {"Bash": (1, 131.0), "Read": (1, 20.0)}
-    pairs = run(ST.call_durations(records()), "pairs").collect()
-    assert [(r.call_id, r.seconds, r.failed) for r in pairs] == [("a", 240.0, True)]
-    usage = run(ST.usage_stream(records()), "usage", "update").groupBy("run").agg(F.max("turns")).first()
-    assert usage[:] == ("s", 2)
+
+
+def test_late_results_pair_as_a_stream(stream):
+    pairs = stream.run(ST.call_durations(stream.records), "pairs")
+    done = pairs.filter("seconds is not null").collect()
+    assert [(r.call_id, r.tool, r.seconds, r.failed) for r in done] == [("a", "Bash", 58 * 60.0, True)]
+    now = pairs.agg(F.max("started")).first()[0] + 90
+    assert [(r.call_id, r.tool, r.running_for) for r in ST.open_calls(pairs, now).collect()] == [("open", "Read", 90.0)]
+
+
+def test_usage_as_a_stream(stream):
+    usage = stream.run(ST.usage_stream(stream.records), "usage").groupBy("run").agg(F.max("turns")).first()
+    assert usage[:] == ("opus/r1", 3)
