@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from landledger.llm.shared import slices, staged, text_bytes
 from landledger.llm.textscan import LOWER, SOLID, span_hashes, word_spans
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 ORDER, CLASSES = 4, 64
 DISCOUNT = 0.75
 PIECE = 512
@@ -80,12 +80,12 @@ def _stream(word_at: np.ndarray, flat: np.ndarray, tokens: np.ndarray, bounds: n
 def _contexts(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Code of the last ORDER classes at each place; before a text stand ends (class 0)."""
     code = classes.astype(np.uint32)
-    place = np.arange(len(classes)) - np.repeat(bounds[:-1], np.diff(bounds))
     out = code.copy()
     for back in range(1, ORDER):
         earlier = np.zeros(len(code), np.uint32)
         earlier[back:] = code[:-back]
-        earlier[place < back] = 0
+        heads = (bounds[:-1, None] + np.arange(back))[np.arange(back) < np.diff(bounds)[:, None]]
+        earlier[heads] = 0
         out += earlier << np.uint32(6 * back)
     return out
 

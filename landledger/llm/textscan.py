@@ -18,6 +18,8 @@ SOLID[[0x20, 9, 10, 11, 12, 13]] = False
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes whose sums are held at once.
+HASHED_BYTES = 1 << 19
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -53,11 +55,20 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    up, down = _power(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span; spans are in order and apart. Works on about HASHED_BYTES at a time."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, base + HASHED_BYTES, "right")))
+        part = raw[base : int(ends[stop - 1])]
+        up, down = _power(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        first, last = starts[at:stop] - base, ends[at:stop] - base
+        out[at:stop] = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
+        at = stop
+    return mix(out)
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
