@@ -112,17 +112,21 @@ def dirty_list(spark: SparkSession, sf_dir: str, land: DataFrame) -> DataFrame:
     src = F.when((n % 17 == 0) & (n > 0), n - 1).otherwise(n)
     rows = table(spark, sf_dir, "customer").select(n.alias("row_id"), src.alias("src"))
     s = F.col("src")
-    land = land.select(F.col("row_key").alias("src"), "cod_imovel", "geometry")
+    land = land.select(F.col("row_key").alias("src"), "cod_imovel", "geometry", "area")
     far, lost = s % 97 == 11, s % 41 == 9
     anonymous = far | lost | (s % 10).isin(3, 5)
-    center = G.centroid(F.col("geometry"))
-    shape = F.when(s % 10 == 5, G.point(center["cx"], center["cy"])).otherwise(F.col("geometry"))
-    shape = F.when(s % 23 == 7, G.flip(shape)).otherwise(shape)
-    wkt = F.when(far, "POINT (-5 -5)").when(lost, " ").when(anonymous, G.to_wkt(shape))
+    # each step is a column, so that no step is copied into the next one's expressions
+    shaped = rows.join(land, "src", "left")
+    shaped = shaped.withColumn("_center", F.struct(*[c.alias(n) for n, c in G.centroid(F.col("geometry"), F.col("area")).items()]))
+    shaped = shaped.withColumn("_given", F.when(s % 10 == 5, G.point(F.col("_center.cx"), F.col("_center.cy"))).otherwise(F.col("geometry")))
+    shaped = shaped.withColumn("_turned", F.when(s % 23 == 7, G.flip(F.col("_given"))).otherwise(F.col("_given")))
+    # shapes that no reader takes: empty, of another kind, cut short; two different lines are not copies
+    odd = F.when(s % 194 == 11, F.concat(F.lit("LINESTRING (1 1, "), s.cast("string"), F.lit(" 2)"))).when(s % 388 == 108, "POINT EMPTY").when(s % 388 == 302, "POINT (1)")
+    wkt = F.when(far, F.coalesce(odd, F.lit("POINT (-5 -5)"))).when(lost, " ").when(anonymous, G.to_wkt(F.col("_turned")))
     # A customer without a parcel of its key stays on the list under an id no parcel has.
     name = F.coalesce("cod_imovel", F.concat(F.lit("S0-0-"), s.cast("string")))
     raw_id = F.when(anonymous, "").otherwise(F.concat(F.lit(" "), name, F.lit(" ")))
-    return rows.join(land, "src", "left").select("row_id", raw_id.alias("raw_id"), wkt.alias("raw_wkt"))
+    return shaped.select("row_id", raw_id.alias("raw_id"), wkt.alias("raw_wkt"))
 
 
 def artifacts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

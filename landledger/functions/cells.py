@@ -16,7 +16,7 @@ TRUE_WORDS, FALSE_WORDS = ["true", "yes", "t"], ["false", "no", "f"]
 _INT = r"^[+-]?\d+(_\d+)*$"
 _FLOAT = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)$"
 
-CELL = "struct<kind:string,i:bigint,d:double,s:string>"
+CELL = "struct<kind:string,i:bigint,n:string,d:double,s:string>"
 
 
 def _then(value: Column, step) -> Column:
@@ -25,19 +25,24 @@ def _then(value: Column, step) -> Column:
 
 
 def parse(raw: Column) -> Column:
-    """Integer, else float, else trimmed text, as ``struct<kind, i, d, s>``."""
+    """Integer, else float, else trimmed text, as ``struct<kind, i, n, d, s>``.
+
+    ``n`` spells an integer of any size without leading zeros; ``i`` is null beyond 64 bits.
+    """
 
     def numbers(text: Column) -> Column:
         plain = F.replace(text, F.lit("_"), F.lit(""))
+        digits = F.regexp_replace(F.regexp_replace(plain, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
         return F.struct(
             F.when(text.rlike(_INT), plain.try_cast("bigint")).alias("i"),
+            F.when(text.rlike(_INT), F.when(digits == "-0", "0").otherwise(digits)).alias("n"),
             F.when(text.rlike(_FLOAT), plain.try_cast("double")).alias("d"),
             text.alias("s"),
         )
 
     def typed(read: Column) -> Column:
-        kind = F.when(read["i"].isNotNull(), "i").when(read["d"].isNotNull(), "f").otherwise("s")
-        return F.struct(kind.alias("kind"), read["i"].alias("i"), read["d"].alias("d"), read["s"].alias("s"))
+        kind = F.when(read["n"].isNotNull(), "i").when(read["d"].isNotNull(), "f").otherwise("s")
+        return F.struct(kind.alias("kind"), read["i"].alias("i"), read["n"].alias("n"), read["d"].alias("d"), read["s"].alias("s"))
 
     return _then(_then(F.trim(F.coalesce(raw, F.lit("")), F.lit(" \t\r\n")), numbers), typed)
 
@@ -100,21 +105,15 @@ def matches(answer: Column, golden: Column, geometry: Column, slack: float = 1.0
     as_boolean = (a_word.isNotNull() | g_word.isNotNull()) & a_bool.isNotNull() & g_bool.isNotNull()
     both_int = (answer["kind"] == "i") & (golden["kind"] == "i")
     both_num = (answer["kind"] != "s") & (golden["kind"] != "s")
-    gap = F.abs(answer["i"].cast("double") - golden["i"].cast("double"))
-    room = F.lit(slack) * F.greatest(F.lit(float(GEOM_INT_SLACK)), GEOM_INT_SHARE * F.abs(golden["i"]).cast("double"))
+    gap = F.abs(answer["d"] - golden["d"])
+    room = F.lit(slack) * F.greatest(F.lit(float(GEOM_INT_SLACK)), GEOM_INT_SHARE * F.abs(golden["d"]))
     loose = geometry | F.lit(slack > 1.0)
     rel = F.lit(slack) * F.when(geometry, GEOM_REL_TOL).otherwise(REL_TOL)
     both_text = (answer["kind"] == "s") & (golden["kind"] == "s")
     return (
         F.when(as_boolean, a_bool == g_bool)
-        .when(both_int, F.when(loose, gap <= room).otherwise(answer["i"] == golden["i"]))
+        .when(both_int, F.when(loose, gap <= room).otherwise(answer["n"] == golden["n"]))
         .when(both_num, close(quantize(answer["d"], golden["d"]), golden["d"], rel))
         .when(both_text, F.lower(answer["s"]) == F.lower(golden["s"]))
         .otherwise(F.lit(False))
     )
-
-
-def relative_error(answer: Column, golden: Column) -> Column:
-    """Rounded relative error of two parsed cells, null when it is undefined."""
-    numeric = (answer["kind"] != "s") & (golden["kind"] != "s") & (golden["d"] != 0)
-    return F.when(numeric, F.round(F.abs(answer["d"] - golden["d"]) / F.abs(golden["d"]), 6))

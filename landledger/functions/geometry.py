@@ -36,13 +36,16 @@ def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 
 def from_wkt(wkt: Column) -> Column:
-    """POINT, POLYGON and MULTIPOLYGON text; anything else gives null rings."""
+    """POINT, POLYGON and MULTIPOLYGON text; anything else, empty shapes and broken numbers give null rings.
+
+    Coordinates past the second are dropped.
+    """
 
     def to_point(text: Column) -> Column:
-        parts = F.split(F.trim(text), r"\s+")
+        parts = F.split(F.trim(text, F.lit(" \t\r\n")), r"\s+")
         return F.struct(
-            F.element_at(parts, 1).try_cast("double").alias("x"),
-            F.element_at(parts, 2).try_cast("double").alias("y"),
+            F.get(parts, 0).try_cast("double").alias("x"),
+            F.get(parts, 1).try_cast("double").alias("y"),
         )
 
     def to_pts(body: Column) -> Column:
@@ -63,7 +66,12 @@ def from_wkt(wkt: Column) -> Column:
         )
     )
     rings = F.when(kind == "POINT", point_ring).when(kind.isin("POLYGON", "MULTIPOLYGON"), polygon_rings)
-    return F.when(wkt.isNotNull(), F.struct(kind.alias("kind"), rings.alias("rings")))
+    # through a lambda, so that the parsed rings are made once
+    def checked(found: Column) -> Column:
+        whole = (F.size(found) > 0) & F.forall(found, lambda r: F.forall(r["pts"], lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+        return F.struct(kind.alias("kind"), F.when(whole, found).alias("rings"))
+
+    return F.when(wkt.isNotNull(), F.element_at(F.transform(F.array(rings), checked), 1))
 
 
 def to_wkt(geom: Column) -> Column:
@@ -142,8 +150,8 @@ def area(geom: Column) -> Column:
     )
 
 
-def centroid(geom: Column) -> dict[str, Column]:
-    """Area-weighted centroid; a point is its own centroid."""
+def centroid(geom: Column, size: Column | None = None) -> dict[str, Column]:
+    """Area-weighted centroid; a point is its own centroid. ``size`` is the area where it is known."""
     first = geom["rings"][0]["pts"][0]
 
     def weighted(axis: int) -> Column:
@@ -157,7 +165,7 @@ def centroid(geom: Column) -> dict[str, Column]:
 
         return F.aggregate(geom["rings"], F.lit(0.0), ring)
 
-    size = area(geom)
+    size = area(geom) if size is None else size
     return {
         "cx": F.when(size > 0, first["x"] + weighted(0) / size).otherwise(first["x"]),
         "cy": F.when(size > 0, first["y"] + weighted(1) / size).otherwise(first["y"]),
@@ -251,8 +259,3 @@ def with_shape(df: DataFrame, geom: str = "geometry") -> DataFrame:
             "edges": edges(F.col(geom)),
         }
     )
-
-
-def identity(geom: Column) -> Column:
-    """Key under which two equal geometries are the same value."""
-    return F.sha2(F.to_json(geom), 256)

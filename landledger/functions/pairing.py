@@ -30,7 +30,7 @@ class Columns:
         self.is_text = [np.array([c["kind"] == "s" for c in col]) for col in columns]
         self.is_int = [np.array([c["kind"] == "i" for c in col]) for col in columns]
         self.number = [np.array([np.nan if c["d"] is None else c["d"] for c in col]) for col in columns]
-        self.whole = [np.array([0 if c["i"] is None else c["i"] for c in col]) for col in columns]
+        self.spelled = [np.array([-1 if c["n"] is None else codes.setdefault(f"#{c['n']}", len(codes)) for c in col]) for col in columns]
         self.text = [np.array([codes.setdefault(t, len(codes)) for t in col]) for col in folded]
         self.word = [
             np.array([WORDS.get(t, np.nan) for t in texts]) if text.any() else np.full(len(texts), np.nan)
@@ -38,7 +38,7 @@ class Columns:
         ]
         self.truth = [
             np.where(i & ((w == 0) | (w == 1)), w.astype(float), word)
-            for i, w, word in zip(self.is_int, self.whole, self.word)
+            for i, w, word in zip(self.is_int, self.number, self.word)
         ]
         self.places = [np.array([_places(v) for v in col]) for col in self.number]
 
@@ -65,11 +65,11 @@ def match_matrix(a: Columns, i: int, g: Columns, j: int, geometry: bool, slack:
             rel = slack * (GEOM_REL_TOL if geometry else REL_TOL)
             room = np.maximum(rel * np.maximum(np.abs(rounded), np.abs(gn)), ABS_TOL)
             near = (rounded == gn) | (np.isfinite(rounded) & np.isfinite(gn) & (gap <= room))
-        aw, gw = a.whole[i][:, None], g.whole[j][None, :]
         if geometry or slack > 1:
-            whole = np.abs(aw - gw) <= slack * np.maximum(GEOM_INT_SLACK, GEOM_INT_SHARE * np.abs(gw))
+            with np.errstate(invalid="ignore"):
+                whole = np.abs(an - gn) <= slack * np.maximum(GEOM_INT_SLACK, GEOM_INT_SHARE * np.abs(gn))
         else:
-            whole = aw == gw
+            whole = a.spelled[i][:, None] == g.spelled[j][None, :]
         both_int = a.is_int[i][:, None] & g.is_int[j][None, :]
         out = np.where(both_int, whole, np.where(both_num, near, out))
     worded = ~np.isnan(a.word[i])[:, None] | ~np.isnan(g.word[j])[None, :]

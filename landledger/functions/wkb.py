@@ -16,33 +16,40 @@ KINDS = {1: "POINT", 3: "POLYGON", 6: "MULTIPOLYGON"}
 
 
 def _decode(raw: bytes) -> dict | None:
-    def polygon(at: int):
+    """None for other kinds and for empty shapes; coordinates past the second are dropped."""
+
+    def head(at: int) -> tuple[str, str | None, int, int]:
         order = "<" if raw[at] else ">"
-        (count,) = struct.unpack_from(order + "I", raw, at + 5)
-        at, rings = at + 9, []
+        (code,) = struct.unpack_from(order + "I", raw, at + 1)
+        extra = bool(code & 0x80000000) + bool(code & 0x40000000) + (0, 1, 1, 2)[(code & 0xFFFF) // 1000 % 4]
+        skip = 4 if code & 0x20000000 else 0  # a coordinate system id
+        return order, KINDS.get((code & 0xFFFF) % 1000), 2 + extra, at + 5 + skip
+
+    def polygon(at: int):
+        order, _, width, at = head(at)
+        (count,) = struct.unpack_from(order + "I", raw, at)
+        at, rings = at + 4, []
         for i in range(count):
             (n,) = struct.unpack_from(order + "I", raw, at)
-            xy = np.frombuffer(raw, order + "f8", 2 * n, at + 4).reshape(n, 2)
+            xy = np.frombuffer(raw, order + "f8", width * n, at + 4).reshape(n, width)[:, :2]
             rings.append({"hole": i > 0, "pts": [{"x": float(x), "y": float(y)} for x, y in xy]})
-            at += 4 + 16 * n
+            at += 4 + 8 * width * n
         return rings, at
 
-    order = "<" if raw[0] else ">"
-    (code,) = struct.unpack_from(order + "I", raw, 1)
-    kind = KINDS.get(code)
+    order, kind, _, at = head(0)
+    rings: list[dict] = []
     if kind == "POINT":
-        x, y = struct.unpack_from(order + "2d", raw, 5)
-        return {"kind": kind, "rings": [{"hole": False, "pts": [{"x": x, "y": y}]}]}
-    if kind == "POLYGON":
-        return {"kind": kind, "rings": polygon(0)[0]}
-    if kind == "MULTIPOLYGON":
-        (count,) = struct.unpack_from(order + "I", raw, 5)
-        at, rings = 9, []
+        x, y = struct.unpack_from(order + "2d", raw, at)
+        rings = [] if np.isnan(x) else [{"hole": False, "pts": [{"x": x, "y": y}]}]
+    elif kind == "POLYGON":
+        rings = polygon(0)[0]
+    elif kind == "MULTIPOLYGON":
+        (count,) = struct.unpack_from(order + "I", raw, at)
+        at += 4
         for _ in range(count):
             part, at = polygon(at)
             rings += part
-        return {"kind": kind, "rings": rings}
-    return None
+    return {"kind": kind, "rings": rings} if rings else None
 
 
 def _encode(geom) -> bytes | None:

@@ -37,6 +37,7 @@ def prepare(listed: DataFrame, policy: Policy) -> DataFrame:
     parsed = listed.select(
         "row_id",
         blank_to_null(F.col("raw_id")).alias("raw_id"),
+        blank_to_null(F.col("raw_wkt")).alias("raw_wkt"),
         G.from_wkt(blank_to_null(F.col("raw_wkt"))).alias("as_given"),
     ).withColumn("_edges", G.edges(F.col("as_given")))
     here = G.meets_box(F.col("_edges"), policy.study_box)
@@ -46,10 +47,13 @@ def prepare(listed: DataFrame, policy: Policy) -> DataFrame:
         "raw_id",
         "axis_flipped",
         F.when(F.col("axis_flipped"), G.flip(F.col("as_given"))).otherwise(F.col("as_given")).alias("geometry"),
+        "raw_wkt",
     )
+    # text that is no shape here is compared as it stands
+    shape = F.when(F.col("geometry.rings").isNotNull(), F.to_json("geometry")).otherwise(F.col("raw_wkt"))
     prepared = prepared.withColumn(
-        "_copy", F.sha2(F.concat_ws("|", F.coalesce("raw_id", F.lit("")), F.coalesce(F.to_json("geometry"), F.lit(""))), 256)
-    )
+        "_copy", F.sha2(F.concat_ws("|", F.coalesce("raw_id", F.lit("")), F.coalesce(shape, F.lit(""))), 256)
+    ).drop("raw_wkt")
     kept = prepared.groupBy("_copy").agg(F.min("row_id").alias("row_id")).select("row_id", F.lit(True).alias("_first"))
     return (
         prepared.join(kept, "row_id", "left")

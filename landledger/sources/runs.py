@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landledger.sources.lists import arrival
+from landledger.sources.files import read_csv_rows
 
 BLOCK = (
     "struct<type:string,id:string,name:string,input:map<string,string>,tool_use_id:string,"
@@ -53,26 +53,6 @@ def read_meta(spark: SparkSession, path: str, model: str = "*") -> DataFrame:
     ).orderBy("run")
 
 
-def split_csv_line(line: Column) -> Column:
-    """Cells of one CSV line; commas inside quotes do not split, doubled quotes are one quote."""
-    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(
-        cells,
-        lambda c: F.when(
-            F.trim(c).rlike(r'^".*"$'), F.replace(F.regexp_extract(F.trim(c), r'^"(.*)"$', 1), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
-    )
-
-
-def read_answer_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """(file_path, line_no, cells) of CSV files; the least line of a file is its header."""
-    raw = spark.read.text(pattern)
-    return raw.select(
-        F.col("_metadata.file_path").alias("file_path"), arrival().alias("place"),
-        split_csv_line(F.col("value")).alias("cells"),
-    )
-
-
 def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Body rows (run, qid, row_no, cells) and the written files (run, qid)."""
     return _tables(spark, f"{path}/*/*/answers/q*.csv", 2, ["run", "qid"])
@@ -84,7 +64,7 @@ def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _tables(spark: SparkSession, pattern: str, up: int | None, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    lines = read_answer_lines(spark, pattern)
+    lines = read_csv_rows(spark, pattern)
     heads = lines.groupBy("file_path").agg(F.min(F.struct("place", "cells")).alias("head"))
     qid = F.regexp_extract("file_path", r"([^/]+)\.csv$", 1).alias("qid")
     parts = F.split("file_path", "/")

@@ -13,12 +13,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from landledger.operators.usage import HEARTBEAT_SECONDS
+from landledger.sources.files import open_file
 from landledger.sources.runs import RECORD_SCHEMA
 
 SEGMENT = "run string, file string, start bigint, stop bigint, value string"
@@ -32,8 +32,7 @@ def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
             parts = path.split("/")
             run, at, rest = "/".join(parts[-3:-1]), start, b""
-            system, place = pafs.FileSystem.from_uri(path.replace("file:/", "file:///") if not path.startswith("file://") else path)
-            with system.open_input_file(place) as file:
+            with open_file(path) as file:
                 file.seek(start)
                 while chunk := file.read(CHUNK):
                     *lines, rest = (rest + chunk).split(b"\n")

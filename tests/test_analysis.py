@@ -317,3 +317,34 @@ def test_catalog_children(spark):
     rows = [([("child", "./a/collection.json"), ("child", "./b/catalog.json"), ("root", "x/collection.json")],)]
     cat = spark.createDataFrame(rows, "links array<struct<rel:string,href:string>>")
     assert V.catalog_children(cat).first()[:] == (1, "trazo3-fields")
+
+
+def test_two_policies_do_not_share_stages(spark):
+    from dataclasses import replace
+
+    from landledger.derive import PLANE
+    from landledger.portfolio import Portfolio
+
+    strict = Portfolio(spark, "/root/testdata/sf0.001").decision
+    loose = Portfolio(spark, "/root/testdata/sf0.001", replace(PLANE, contain_threshold=0.05)).decision
+    assert (strict.filter("by_primary").count(), loose.filter("by_primary").count()) == (331, 603)
+
+
+def test_other_input_under_one_name_is_another_stage(spark, stages):
+    assert stages.keep("x", spark.range(3)).count() == 3
+    assert stages.keep("x", spark.range(5)).count() == 5
+    stages.drop()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from landledger.session import checkpoint_root
+
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__))
+
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_root(session(**{"spark.master": master}))
+    assert checkpoint_root(session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///shared/"})) == "hdfs:///shared"

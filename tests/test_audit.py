@@ -305,3 +305,37 @@ def test_set_digest(spark):
         want.update(f"{name}\n{hashlib.sha256(files[name].encode()).hexdigest()}\n".encode())
     assert T.set_digest(hashed, ["spec"]).first().digest == want.hexdigest()[:12]
     assert RECORD_SCHEMA.startswith("type string")
+
+
+def test_integers_past_64_bits_are_compared_exactly(spark):
+    a, b = "123456789012345678901234567890", "123456789012345678901234567891"
+    cells = spark.createDataFrame([(a, a), (a, b), ("+00" + a, a), ("-0", "0"), ("9223372036854775808", "9223372036854775807")], "x string, y string")
+    got = cells.select(K.matches(K.parse(F.col("x")), K.parse(F.col("y")), F.lit(False)).alias("m")).collect()
+    assert [r.m for r in got] == [True, False, True, True, False]
+
+
+def test_dependencies_of_any_depth(spark):
+    chain = [(f"q{k:02d}", [f"q{k - 1:02d}"] if k else []) for k in range(40)]
+    questions = spark.createDataFrame(chain, "qid string, depends_on array<string>")
+    assert S.transitive_dependencies(questions).count() == 40 * 39 // 2
+    grades = spark.createDataFrame([("r", q, "wrong" if q == "q00" else "correct") for q, _ in chain], "run string, qid string, outcome string")
+    assert [r.qid for r in S.eligible(grades, questions).collect()] == ["q00"]
+    loop = spark.createDataFrame([("a", ["b"]), ("b", ["c"]), ("c", ["a"])], "qid string, depends_on array<string>")
+    with pytest.raises(ValueError, match="depends on itself"):
+        S.transitive_dependencies(loop)
+
+
+def test_a_model_without_a_price_keeps_its_row(spark):
+    usage = spark.createDataFrame([("r", "unheard-of", 1, 1, 1, 1)], "run string, model string, input_tokens int, output_tokens int, cache_creation_tokens int, cache_read_tokens int")
+    assert [r.imputed_cost_usd for r in U.imputed_cost(usage, price_table(spark)).collect()] == [None]
+
+
+def test_last_seen_keeps_runs_without_a_value(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, ""), ("b", 1, None)], "run string, arrival int, session_id string")
+    assert {(r.run, r.session_id) for r in U.last_seen(rows, "session_id").collect()} == {("a", "x"), ("b", None)}
+
+
+def test_child_calls_beat_under_their_parent(spark):
+    rows = [("r", 1, "child", "parent", 30.0), ("r", 2, "parent", None, 61.0), ("r", 3, "child", "parent", 125.0)]
+    beats = spark.createDataFrame(rows, "run string, arrival int, tool_use_id string, parent_tool_use_id string, seconds double")
+    assert {(r.tool_use_id, r.shown_at) for r in U.heartbeats(beats).collect()} == {("parent", 61.0), ("parent", 125.0)}

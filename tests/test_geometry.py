@@ -129,3 +129,12 @@ def test_polyconic_and_spheroid(spark):
 
     want = (1 - e2) * 6378137.0**2 / 2 * math.radians(1) * abs(q(-15) - q(-16))
     assert one.select(spheroid_area_m2(cell)).first()[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_text_that_is_no_shape_gives_no_rings(spark):
+    texts = ["POINT EMPTY", "POINT (1)", "POINT ()", "POLYGON EMPTY", "POLYGON ((0 0, 1 x, 1 1, 0 0))", "LINESTRING (1 1, 2 2)", "MULTIPOINT (1 1)", "nonsense", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(G.from_wkt(F.col("t")).alias("g"))
+    assert rows.filter("g.rings is not null").count() == 0
+    rows.select(*[c.alias(n) for n, c in G.bounds(F.col("g")).items()], G.edges(F.col("g")), G.to_wkt(F.col("g"))).collect()
+    raised = spark.createDataFrame([("POINT Z (1 2 3)",)], "t string").select(G.to_wkt(G.from_wkt(F.col("t"))).alias("w"))
+    assert raised.first().w == "POINT (1.0 2.0)"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landledger.functions import geometry as G
+from landledger.functions.wkb import from_wkb
 from landledger.operators import grading as Q
 from landledger.sources import lists, runs, tables
 from landledger.streaming import transcripts as ST
@@ -36,6 +37,55 @@ def test_three_list_encodings_agree(spark):
     assert [(r.raw_id, r.raw_wkt) for r in rows] == [("GO-1-A", box), (None, box), ("GO-1-B", box)]
 
 
+def test_every_shape_of_an_id_is_a_row(spark):
+    root = folder()
+    put(f"{root}/list.csv", "cod_imovel\nA\nB\nC\n")
+    shaped = spark.createDataFrame([("A", "POINT (1.0 2.0)"), ("A", "POINT (3.0 4.0)"), ("B", "POINT (5.0 6.0)")], "cod_imovel string, wkt string")
+    tables.write_shapes(shaped.withColumn("geometry", G.from_wkt(F.col("wkt"))).drop("wkt"), f"{root}/shapes")
+    rows = lists.read_list(spark, "split", f"{root}/list.csv", f"{root}/shapes").collect()
+    assert sorted((r.raw_id, r.raw_wkt or "") for r in rows) == [("A", "POINT (1.0 2.0)"), ("A", "POINT (3.0 4.0)"), ("B", "POINT (5.0 6.0)"), ("C", "")]
+    assert len({r.row_id for r in rows}) == 4
+
+
+def test_geojson_lists(spark):
+    root = folder()
+    shapes = [{"type": "Point", "coordinates": [3, 4.5]}, {"type": "Polygon", "coordinates": [[[0, 0, 9], [1, 0, 9], [1, 1, 9], [0, 0, 9]]]},
+              {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]}, None]
+    features = [{"type": "Feature", "properties": {"cod_imovel": f"id{k}", "other": k}, "geometry": g} for k, g in enumerate(shapes)]
+    put(f"{root}/all.geojson", json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    put(f"{root}/lines.geojsonl", "".join(json.dumps(f) + "\n" for f in features))
+    for mode, path in (("geojson", "all.geojson"), ("geojsonl", "lines.geojsonl")):
+        rows = lists.read_list(spark, mode, f"{root}/{path}").orderBy("row_id")
+        got = rows.select("raw_id", G.to_wkt(G.from_wkt(F.col("raw_wkt"))).alias("wkt")).collect()
+        assert [tuple(r) for r in got] == [
+            ("id0", "POINT (3.0 4.5)"), ("id1", "POLYGON ((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0))"),
+            ("id2", "MULTIPOLYGON (((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0)), ((5.0 5.0, 6.0 5.0, 6.0 6.0, 5.0 5.0)))"), ("id3", None)], mode
+
+
+def test_cells_with_line_breaks(spark):
+    root = folder()
+    put(f"{root}/list.csv", 'cod_imovel,geometry\n"A\nB","POINT\n(1 2)"\nC,\n')
+    rows = lists.read_list(spark, "csv", f"{root}/list.csv").orderBy("row_id").collect()
+    assert [(r.raw_id, r.raw_wkt) for r in rows] == [("A\nB", "POINT\n(1 2)"), ("C", None)]
+    put(f"{root}/golden/q01.csv", 'a,b\n"x, ""y""\nz",1\n\n,2\n')
+    body, headers = runs.read_golden(spark, f"{root}/golden")
+    assert headers.collect()[0][:] == ("q01", ["a", "b"])
+    assert [r.cells for r in body.orderBy("row_no").collect()] == [['x, "y"\nz', "1"], ["", "2"]]
+
+
+def test_binary_shapes_of_all_sorts(spark):
+    import struct
+
+    line = struct.pack("<BII4d", 1, 2, 2, 0, 0, 1, 1)
+    raised = struct.pack("<BI3d", 1, 1001, 1, 2, 3)
+    labelled = struct.pack("<BII2d", 1, 1 | 0x20000000, 4326, 7, 8)
+    nothing = struct.pack("<BI2d", 1, 1, float("nan"), float("nan"))
+    ring = struct.pack("<BIII9d", 1, 1003, 1, 3, 0, 0, 9, 1, 0, 9, 0, 0, 9)
+    rows = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate((line, raised, labelled, nothing, ring))], "k int, b binary")
+    got = rows.select("k", G.to_wkt(from_wkb("b")).alias("wkt")).orderBy("k").collect()
+    assert [r.wkt for r in got] == [None, "POINT (1.0 2.0)", "POINT (7.0 8.0)", None, "POLYGON ((0.0 0.0, 1.0 0.0, 0.0 0.0))"]
+
+
 def test_parcels_keep_a_key_per_row(spark):
     root = folder()
     src = spark.createDataFrame([("A", "POINT (1 2)"), ("A", "POINT (1 2)")], "cod_imovel string, wkt string")
