@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -140,36 +141,43 @@ def test_injected_defects_resolve_back(spark, stages):
 
 # -- matching -----------------------------------------------------------------------
 
-def test_primary_parcel_ties(spark):
-    tol = POLICY.primary_tie_tolerance
-    rows = [
-        (1, "GO-B", 80.0, 100.0), (1, "GO-A", 20.0, 100.0), (2, "GO-Z", 50.0, 100.0), (2, "GO-C", 50.0, 100.0),
-        (3, "GO-C", 50.0, 100.0), (3, "GO-Z", 50.0, 100.0), (4, "GO-Z", 50.0 + 100 * tol / 10, 100.0),
-        (4, "GO-C", 50.0, 100.0), (5, "GO-A", 0.0, 0.0), (6, "GO-Z", 50.0 + 100 * tol * 10, 100.0), (6, "GO-C", 50.0, 100.0),
-    ]
-    ov = spark.createDataFrame(rows, "field_id long, cod_imovel string, inter_area double, field_area double")
-    got = {r.field_id: r for r in M.primary_parcel(ov, POLICY).collect()}
-    assert {k: v.primary_cod_imovel for k, v in got.items()} == {
-        1: "GO-B", 2: "GO-C", 3: "GO-C", 4: "GO-C", 5: "GO-A", 6: "GO-Z"
-    }
-    assert got[5].max_single_frac is None
-    assert got[4].max_single_frac == pytest.approx(0.5 + tol / 10, abs=1e-15)
-
-
-def test_dominant_class_weighs_hectares(spark):
-    rows = [("MIXED", 39.0, 144.9)] + [("MIXED", 15.0, v) for v in (12.0, 11.0, 10.0, 9.5)]
-    rows += [("TIE", 39.0, 60.0), ("TIE", 15.0, 60.0), ("NULL", None, 20.0)]
-    matched = spark.createDataFrame(rows, "cod_imovel string, mbmode24 double, field_area_ha double")
-    assert dict(map(tuple, M.dominant_class(matched).collect())) == {"MIXED": 39.0, "TIE": 15.0}
-
-
-def test_excluded_ignores_fields_that_touch_no_parcel(spark):
-    rows = [(1, 0.3, 0.42, False, False), (2, 0.1, 0.55, False, False), (3, 0.0, 0.31, False, False),
-            (4, None, 0.12, False, False), (5, 0.8, 0.9, True, True), (6, 0.0, 0.0, False, False)]
-    decision = spark.createDataFrame(
-        rows, "field_id long, max_single_frac double, union_frac double, by_primary boolean, by_aggregate boolean"
-    )
-    assert M.excluded_count(decision).first()[0] == 2
+def test_primary_parcel_is_the_least_id_among_the_best(spark):
+    """Random shares against a plain fold; shares a little apart on either side of the tolerance."""
+    rng, tol = random.Random(11), POLICY.primary_tie_tolerance
+    rows = []
+    for field in range(40):
+        top = rng.choice([0.2, 0.7, 1.0])
+        for _ in range(rng.randint(1, 6)):
+            share = top - rng.choice([0, 0, tol / 7, tol * 3, 0.1])
+            rows.append((field, f"P{rng.randint(1, 9)}", share * 64.0, 64.0))
+    rows.append((99, "P5", 0.0, 0.0))
+    got = {r.field_id: r for r in M.primary_parcel(spark.createDataFrame(rows, "field_id long, cod_imovel string, inter_area double, field_area double"), POLICY).collect()}
+    for field in {r[0] for r in rows} - {99}:
+        shares = [(c, x / y) for f, c, x, y in rows if f == field]
+        best = max(x for _, x in shares)
+        assert got[field].primary_cod_imovel == min(c for c, x in shares if best - x <= tol)
+        assert got[field].max_single_frac == best
+    assert (got[99].primary_cod_imovel, got[99].max_single_frac) == ("P5", None)
+
+
+def test_dominant_class_is_the_widest(spark):
+    rng = random.Random(12)
+    rows = [(f"P{rng.randint(0, 20)}", rng.choice([15.0, 39.0, 41.0, None]), float(rng.randint(1, 4))) for _ in range(300)]
+    got = dict(map(tuple, M.dominant_class(spark.createDataFrame(rows, "cod_imovel string, mbmode24 double, field_area_ha double")).collect()))
+    want = {}
+    for parcel in {r[0] for r in rows}:
+        sums = {c: sum(h for p, k, h in rows if p == parcel and k == c) for c in (15.0, 39.0, 41.0) if any(p == parcel and k == c for p, k, _ in rows)}
+        if sums:
+            want[parcel] = min(c for c in sums if sums[c] == max(sums.values()))
+    assert got == want
+
+
+def test_excluded_counts_touching_fields_that_neither_rule_admits(spark):
+    rng = random.Random(13)
+    rows = [(k, rng.choice([None, 0.0, 0.25, 0.9]), 0.5, rng.random() < 0.3, rng.random() < 0.3) for k in range(200)]
+    decision = spark.createDataFrame(rows, "field_id long, max_single_frac double, union_frac double, by_primary boolean, by_aggregate boolean")
+    want = sum(1 for _, share, _, one, many in rows if share and not one and not many)
+    assert M.excluded_count(decision).first()[0] == want
 
 
 def test_decision_with_sliver_overlap_and_touch(spark, stages):
@@ -248,20 +256,21 @@ CANDIDATE = "cod_imovel string, cod_ibge string, entity_id string, entity_kind s
             "evidence_value double, distance_km double, flags string"
 
 
-def test_candidate_cap_and_order(spark):
-    rows = [("CAD", "52", str(i), "silo", "intake_point", "capacity", 1.0, float(i), "") for i in range(1, 41)]
-    kept = C.rank_candidates(spark.createDataFrame(rows, CANDIDATE), POLICY)
-    assert kept.agg(F.count("*"), F.max("rank")).first()[:] == (5, 5)
-    mixed = [
-        ("X", "1", "g", "coop", "gravity_catchment", "m", 9.0, None, ""),
-        ("X", "1", "m", "mill", "mill_point", "o", 1.0, 5.0, "town_centroid"),
-        ("X", "1", "b", "buyer", "slaughter_point", "o", 1.0, 50.0, ""),
-        ("X", "1", "a", "buyer", "slaughter_point", "o", 1.0, 50.0, ""),
-        ("X", "1", "n", "buyer", "slaughter_point", "o", 1.0, 9.0, "nearest_by_far"),
-        ("X", "1", "z", "coop", "membership_muni", "o", 1.0, None, ""),
-    ]
-    got = C.rank_candidates(spark.createDataFrame(mixed, CANDIDATE), POLICY).orderBy("rank").collect()
-    assert [r.entity_id for r in got] == ["n", "z", "a", "b", "m"]
+def test_candidates_come_in_order_and_stop_at_the_cap(spark):
+    """Random candidates against Python's sort."""
+    rng = random.Random(14)
+    order = {"membership_muni": 0, "intake_point": 1, "slaughter_point": 1, "mill_point": 2, "gravity_catchment": 3}
+    rows = []
+    for k in range(400):
+        tier = rng.choice(list(order))
+        far = rng.choice([None]) if tier in ("membership_muni", "gravity_catchment") else float(rng.randint(1, 6))
+        rows.append((f"P{rng.randint(0, 30)}", "1", f"e{k:03d}", "any", tier, "b", float(rng.randint(1, 3)), far, rng.choice(["", "", "nearest_by_far"]) if far else ""))
+    got = C.rank_candidates(spark.createDataFrame(rows, CANDIDATE), POLICY).collect()
+    want = set()
+    for parcel in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == parcel), key=lambda r: (-1 if r[8] else order[r[4]], math.inf if r[7] is None else r[7], -r[6], r[2]))
+        want |= {(parcel, k + 1, r[2]) for k, r in enumerate(mine[: POLICY.max_candidates])}
+    assert {(r.cod_imovel, r.rank, r.entity_id) for r in got} == want
 
 
 def _spots(spark, rows):
