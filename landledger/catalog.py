@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landledger import derive as D
 from landledger.functions import cells as K
+from landledger.functions import geometry as G
 from landledger.functions.projection import distance_km, polyconic
 from landledger.operators import agreement as A
 from landledger.operators import candidates as C
@@ -22,7 +24,7 @@ from landledger.operators import stages as S
 from landledger.operators import usage as U
 from landledger.plans.spread import spread
 from landledger.plans.stages import Stages
-from landledger.policy import price_table
+from landledger.policy import METRES_PER_DEGREE, price_table
 from landledger.portfolio import Portfolio
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +116,40 @@ view("lossyear_histogram", lambda p: V.loss_year_histogram(p.matched))
 view("crop_breakdown", lambda p: V.crop_breakdown(p.matched))
 view("legality_status", lambda p: V.legality_status(p.enriched))
 
+@query
+def polygon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area shared by fields and parcels that are no boxes."""
+    found = M.overlaps(D.patches(spark, sf_dir), D.outlines(spark, sf_dir), D.PLANE)
+    return found.filter("inter_area > 1e-9").withColumn("inter_area", F.round("inter_area", 6)).withColumn("field_area", F.round("field_area", 6))
+
+
+@query
+def polygon_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each such field inside the union of all such parcels."""
+    stages = Stages.of(spark, sf_dir, "outlines")
+    fields, parcels = stages.table("patches", lambda: D.patches(spark, sf_dir)), stages.table("outlines", lambda: D.outlines(spark, sf_dir))
+    shares = M.union_fraction(fields, parcels, D.PLANE, stages)
+    return shares.filter("union_frac > 1e-9").withColumn("union_frac", F.round("union_frac", 6))
+
+
+@query
+def polygon_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points strictly inside parcels that are no boxes."""
+    k = F.col("c_custkey")
+    places = D.table(spark, sf_dir, "customer").select(k.alias("row_id"), G.point((k * 7) % 1000 + 0.25, -((k * 13) % 200) + 0.25).alias("geometry"))
+    points = G.with_shape(places).withColumn("kind", F.col("geometry.kind"))
+    return R.touching(points, D.outlines(spark, sf_dir), D.PLANE).filter("contains").select("row_id", "row_key", "cod_imovel")
+
+
+@query
+def buffered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of strips inside the union of bands, each band widened by one unit on either side."""
+    policy = replace(D.PLANE, neighbor_gap_tolerance_m=METRES_PER_DEGREE)
+    stages = Stages.of(spark, sf_dir, "bands")
+    shares = M.union_fraction(D.strips(spark, sf_dir), D.bands(spark, sf_dir), policy, stages)
+    return shares.filter("union_frac > 1e-9").withColumn("union_frac", F.round("union_frac", 6))
+
+
 # -- contacts ------------------------------------------------------------------------
 
 view(

@@ -129,6 +129,61 @@ def dirty_list(spark: SparkSession, sf_dir: str, land: DataFrame) -> DataFrame:
     return shaped.select("row_id", raw_id.alias("raw_id"), wkt.alias("raw_wkt"))
 
 
+def _outline(shape: str, **sizes: Column) -> Column:
+    """Text of an outline whose corners are sums of the named columns."""
+    def corner(word: str) -> Column:
+        x, y = word.split(",")
+        place = [sum((sizes[t] if t in sizes else F.lit(int(t)) for t in part.split("+")), F.lit(0)).cast("string") for part in (x, y)]
+        return F.concat_ws(" ", *place)
+
+    kind, rings = shape.split(" ", 1)
+    text = []
+    for ring in rings.split(" / "):
+        text.append(F.concat(F.lit("("), F.concat_ws(", ", *[corner(w) for w in ring.split()]), F.lit(")")))
+    if kind == "MULTIPOLYGON":
+        text = [F.concat(F.lit("("), t, F.lit(")")) for t in text]
+    return F.concat(F.lit(f"{kind} ("), F.concat_ws(", ", *text), F.lit(")"))
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels of other forms: right triangles, angles two units thick, and squares with a square hole."""
+    k = F.col("p_partkey")
+    sizes = {"x": 10 * (k % 100), "y": (-10 * _div(k, 100)).cast("bigint"), "s": 6 + k % 5, "i": 4 + k % 5}
+    triangle = _outline("POLYGON x,y x+s,y x,y+s x,y", **sizes)
+    angle = _outline("POLYGON x,y x+s,y x+s,y+2 x+2,y+2 x+2,y+s x,y+s x,y", **sizes)
+    holed = _outline("POLYGON x,y x+s,y x+s,y+s x,y+s x,y / x+2,y+2 x+i,y+2 x+i,y+i x+2,y+i x+2,y+2", **sizes)
+    wkt = F.when(k % 3 == 0, triangle).when(k % 3 == 1, angle).otherwise(holed)
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey")).withColumn("wkt", wkt)
+    return G.with_shape(rows.select(k.alias("row_key"), parcel_id(k).alias("cod_imovel"), G.from_wkt(F.col("wkt")).alias("geometry")))
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of other forms: squares, right triangles, thin angles, and two squares in one."""
+    k = F.col("o_orderkey")
+    sizes = {"x": (k * 37) % 1000, "y": (-_div(k, 75)).cast("bigint"), "s": 3 + k % 4}
+    square = _outline("POLYGON x,y x+s,y x+s,y+s x,y+s x,y", **sizes)
+    triangle = _outline("POLYGON x,y x+s,y x,y+s x,y", **sizes)
+    angle = _outline("POLYGON x,y x+s,y x+s,y+1 x+1,y+1 x+1,y+s x,y+s x,y", **sizes)
+    two = _outline("MULTIPOLYGON x,y x+1,y x+1,y+1 x,y+1 x,y / x+2,y x+s,y x+s,y+1 x+2,y+1 x+2,y", **sizes)
+    wkt = F.when(k % 4 == 0, square).when(k % 4 == 1, triangle).when(k % 4 == 2, angle).otherwise(two)
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey")).withColumn("wkt", wkt)
+    return G.with_shape(rows.select(k.alias("Id"), G.from_wkt(F.col("wkt")).alias("geometry")))
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long upright parcels, one in ten units; the least size of a column of parts decides how wide each is."""
+    n = F.col("n")
+    rows = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 100).alias("n")).agg((5 + F.min("p_size") % 4).alias("w"))
+    return G.with_shape(rows.select(n.alias("row_key"), F.concat(F.lit("B"), n.cast("string")).alias("cod_imovel"), G.box(10 * n, F.lit(-400), 10 * n + F.col("w"), F.lit(400)).alias("geometry")))
+
+
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields across the bands, far from their ends."""
+    k = F.col("s_suppkey")
+    x, y = (k * 41) % 1000, -20 - k % 150
+    return G.with_shape(table(spark, sf_dir, "supplier").select(k.alias("Id"), G.box(x, y, x + 4 + k % 15, y + 2).alias("geometry")))
+
+
 def artifacts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four runs flagging parcels (orders) with a contact and a loss; several rows per parcel and run."""
     return table(spark, sf_dir, "lineitem").select(

@@ -122,10 +122,29 @@ def cover(field: np.ndarray, pieces: list[np.ndarray], as_region: bool = False):
     return np.stack(sides, axis=1).reshape(-1, 4) + shift
 
 
+def _within(e: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Edges whose box meets the given one."""
+    lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+    return e[((lo <= box[2:]) & (hi >= box[:2])).all(axis=1)]
+
+
 def touches(a: np.ndarray, b: np.ndarray) -> bool:
-    """Closed shapes share at least a point."""
+    """Closed shapes share at least a point. Edges outside the common box cannot; the rest meet a block at a time."""
     shift = np.tile(a[0, :2], 2)
     a, b = a - shift, b - shift
+    corners = [(np.minimum(e[:, :2], e[:, 2:]).min(axis=0), np.maximum(e[:, :2], e[:, 2:]).max(axis=0)) for e in (a, b)]
+    common = np.concatenate([np.maximum(corners[0][0], corners[1][0]), np.minimum(corners[0][1], corners[1][1])])
+    if (common[:2] > common[2:]).any():
+        return False
+    near_a, near_b = _within(a, common), _within(b, common)
+    for start in range(0, len(near_a), CROSSING_BLOCK):
+        if _cross(near_a[start : start + CROSSING_BLOCK], near_b):
+            return True
+    return _holds(b, a[0, 0], a[0, 1]) or _holds(a, b[0, 0], b[0, 1])
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> bool:
+    """Some edge of a shares a point with some edge of b."""
     ax, ay, bx, by = (v[:, None] for v in a.T)
     cx, cy, dx, dy = (v[None, :] for v in b.T)
 
@@ -138,9 +157,7 @@ def touches(a: np.ndarray, b: np.ndarray) -> bool:
         (np.minimum(ax, bx) <= np.maximum(cx, dx)) & (np.minimum(cx, dx) <= np.maximum(ax, bx))
         & (np.minimum(ay, by) <= np.maximum(cy, dy)) & (np.minimum(cy, dy) <= np.maximum(ay, by))
     )
-    if ((d1 * d2 <= 0) & (d3 * d4 <= 0) & overlap).any():
-        return True
-    return _holds(b, a[0, 0], a[0, 1]) or _holds(a, b[0, 0], b[0, 1])
+    return bool(((d1 * d2 <= 0) & (d3 * d4 <= 0) & overlap).any())
 
 
 def _holds(e: np.ndarray, x: float, y: float) -> bool:
@@ -183,7 +200,7 @@ def union_area(gap: float):
     def covered(field: pa.Array, pieces: pa.Array) -> pa.Array:
         out = []
         for f, many in zip(_rows(field), pieces):
-            parts = [q for p in many.as_py() for q in cushion(_as_edges(p), gap)]
+            parts = [q for p in _rows(many.values) for q in cushion(_as_edges(p), gap)]
             out.append(cover(_as_edges(f), parts))
         return pa.array(out, type=pa.float64())
 
@@ -197,7 +214,7 @@ def union_region(gap: float):
     def region(field: pa.Array, pieces: pa.Array) -> pa.Array:
         out = []
         for f, many in zip(_rows(field), pieces):
-            parts = [q for p in many.as_py() for q in cushion(_as_edges(p), gap)]
+            parts = [q for p in _rows(many.values) for q in cushion(_as_edges(p), gap)]
             out.append(cover(_as_edges(f), parts, as_region=True).ravel())
         return pa.array(out, type=pa.list_(pa.float64()))
 
