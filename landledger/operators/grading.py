@@ -41,7 +41,8 @@ def grade(expected: DataFrame, answers: DataFrame, golden: DataFrame, questions:
     expected: run, qid, written (whether a file exists). answers: run, qid, row_no, cells.
     golden: qid, row_no, cells. questions: qid, geometry, header.
     Missing, unreadable and mis-shaped answers are decided by aggregates, so a runaway answer
-    never reaches a group. A group is one answer with exactly the golden's number of rows.
+    never reaches a group. Answers that hold the golden's rows as they are, in any order, are settled by counting.
+    A group is one of the others, with exactly the golden's number of rows.
     """
     want = table_shapes(golden, ["qid"]).select(
         "qid", F.col("n_rows").alias("golden_rows"), F.col("width").alias("golden_columns")
@@ -72,7 +73,12 @@ def grade(expected: DataFrame, answers: DataFrame, golden: DataFrame, questions:
         F.when(F.col("outcome") == WRONG, F.array(shape)).otherwise(F.array()).cast(f"array<struct<{DIFF_STRUCT}>>")
         .alias("diffs"),
     )
-    comparable = status.filter(F.col("outcome").isNull()).select("run", "qid", "geometry", "header")
+    alike = status.filter(F.col("outcome").isNull()).select("run", "qid", "geometry", "header")
+    exact = _exact(alike.select("run", "qid"), answers, golden)
+    settled = settled.unionByName(
+        exact.select("run", "qid", F.lit(CORRECT).alias("outcome"), F.array().cast(f"array<struct<{DIFF_STRUCT}>>").alias("diffs"))
+    )
+    comparable = alike.join(exact, ["run", "qid"], "left_anti")
     # Golden rows go to every run that gave a comparable answer.
     asked = golden.select("qid", "row_no", _typed(F.col("cells")).alias("cells"), F.lit(True).alias("is_golden"))
     given = answers.select("run", "qid", "row_no", _typed(F.col("cells")).alias("cells"), F.lit(False).alias("is_golden"))
@@ -84,6 +90,17 @@ def grade(expected: DataFrame, answers: DataFrame, golden: DataFrame, questions:
     return settled.unionByName(compared)
 
 
+def _exact(keys: DataFrame, answers: DataFrame, golden: DataFrame) -> DataFrame:
+    """(run, qid) whose cells agree with the golden table's as text, row by row in any order; nan agrees with nothing."""
+    plain = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\r\n")))).alias("cells")
+    given = answers.join(keys, ["run", "qid"]).select("run", "qid", plain)
+    wanted = golden.join(keys, "qid").select("run", "qid", plain)
+    odd = F.bool_or(F.exists("cells", lambda c: F.trim(c).rlike(r"(?i)^[+-]?nan$")))
+    sound = golden.groupBy("qid").agg(odd.alias("odd")).filter(~F.coalesce("odd", F.lit(False))).select("qid")
+    same = identical_tables(given, wanted, ["run", "qid"]).filter("identical").select("run", "qid")
+    return same.join(sound, "qid", "left_semi").select("run", "qid")
+
+
 def _grade_one(group: pd.DataFrame) -> pd.DataFrame:
     first = group.iloc[0]
     group = group.sort_values("row_no")
