@@ -66,10 +66,15 @@ def _near(cad: DataFrame, points: DataFrame, radius: float, hot_rows: int) -> Da
 
 
 def delivery(
-    cad: DataFrame, facilities: DataFrame, policy: Policy, stages: Stages, hot_rows: int = HOT_ROWS
+    cad: DataFrame, facilities: DataFrame, policy: Policy, stages: Stages, hot_rows: int = HOT_ROWS,
+    per_tier: int | None = None,
 ) -> DataFrame:
     """Delivery points within each parcel's radius, which widens until min_candidates are met.
 
+    ``per_tier`` keeps the nearest so many of each tier and parcel, for callers that rank and cut them anyway:
+    pairs beyond are dropped before they are shuffled or written. It is at least min_candidates, so the
+    radius, which counts all tiers, is the same.
+
     The radius is the distance of the min_candidates-th nearest point held between intake_km and
     the ceiling. A parcel with enough points inside intake_km never needs the wide search, so the
     ceiling-sized join runs only for the parcels left short by the narrow one.
@@ -79,13 +84,20 @@ def delivery(
     ).select("entity_id", "entity_kind", "tier", "basis", F.col("weight").alias("evidence_value"), "x_km", "y_km")
     spots = cad.select("cod_imovel", "cod_ibge", "x_km", "y_km")
 
-    close = stages.keep("delivery_close", _near(spots, points, policy.intake_km, hot_rows))
+    def near(parcels: DataFrame, radius: float) -> DataFrame:
+        pairs = _near(parcels, points, radius, hot_rows)
+        if per_tier is None:
+            return pairs
+        order = [F.col("distance_km"), F.col("evidence_value").desc_nulls_last(), F.col("entity_id")]
+        return top_per_group(pairs, ["cod_imovel", "tier"], order, max(per_tier, policy.min_candidates), "_nth").drop("_nth")
+
+    close = stages.keep("delivery_close", near(spots, policy.intake_km))
     served = (
         close.groupBy("cod_imovel").agg(F.count("*").alias("n"))
         .filter(F.col("n") >= policy.min_candidates).select("cod_imovel")
     )
     short = spots.join(served, "cod_imovel", "left_anti")
-    wide = stages.keep("delivery_wide", _near(short, points, policy.intake_km_ceiling, hot_rows))
+    wide = stages.keep("delivery_wide", near(short, policy.intake_km_ceiling))
     ranked = top_per_group(
         wide.select("cod_imovel", "entity_id", "distance_km"), ["cod_imovel"],
         [F.col("distance_km"), F.col("entity_id")], policy.min_candidates, "rn",
@@ -188,7 +200,7 @@ def match_candidates(
     """``cad``: cadasters with x_km, y_km. ``facilities``: with_shape columns and x_km, y_km."""
     every = (
         membership(cad, facilities, hot_rows)
-        .unionByName(delivery(cad, facilities, policy, stages, hot_rows).drop("radius_km"))
+        .unionByName(delivery(cad, facilities, policy, stages, hot_rows, policy.max_candidates).drop("radius_km"))
         .unionByName(catchments(cad, facilities, policy.cell, hot_rows))
     )
     every = stages.keep("every_candidate", every)

@@ -104,17 +104,18 @@ def union_fraction(
     count once. Fields with one plain piece, or a piece covering them, need no kernel.
     """
     gap = policy.gap
+    # The shape's hash is taken once a parcel and travels in its place; edges join only what needs the kernel.
+    hashed = cad.withColumn("_copy", F.sha2(F.to_json("edges"), 256))
     pairs = box_pairs(
-        fields, cad, "Id", "row_key", policy.cell, reach=gap, hot_rows=hot_rows,
-        carry_left=["area"], carry_right=["is_box", "edges"],
+        fields, hashed, "Id", "row_key", policy.cell, reach=gap, hot_rows=hot_rows,
+        carry_left=["area"], carry_right=["is_box", "_copy"],
     )
     width = F.least("l_xmax", "r_xmax") - F.greatest("l_xmin", "r_xmin")
     height = F.least("l_ymax", "r_ymax") - F.greatest("l_ymin", "r_ymin")
     pieces = (
         pairs.select(
             F.col("l_Id").alias("Id"),
-            F.col("r_edges").alias("piece"),
-            F.sha2(F.to_json("r_edges"), 256).alias("_copy"),
+            F.col("r__copy").alias("_copy"),
             F.col("l_area").alias("field_area"),
             # the field's box lies inside a box-shaped parcel
             (
@@ -136,8 +137,7 @@ def union_fraction(
         {"pieces": F.count("*"), "covered": F.bool_or("covers")},
         ["_copy"], hot_rows,
     )
-    boxes = fields.select("Id", F.col("is_box").alias("field_is_box"), F.col("edges").alias("field_edges"))
-    told = stages.keep("union_pieces_told", told.join(boxes, "Id"))
+    told = stages.keep("union_pieces_told", told.join(fields.select("Id", F.col("is_box").alias("field_is_box")), "Id"))
     whole = told.filter("covered").groupBy("Id").agg(F.max("field_area").alias("shared"))
     partial = told.filter("NOT covered")
     simple = (F.col("pieces") == 1) & F.col("box_shared").isNotNull() & F.col("field_is_box")
@@ -147,8 +147,10 @@ def union_fraction(
     # Chunk number: hash modulo the number of chunks. Chunks of a field with many pieces are
     # merged into regions, sixty-four at a time, until one is left.
     most = told.agg(F.coalesce(F.max("pieces"), F.lit(0))).first()[0]
+    shapes = hashed.select("_copy", F.col("edges").alias("piece")).dropDuplicates(["_copy"])
     groups = (
         partial.filter(~simple)
+        .join(fields.select("Id", F.col("edges").alias("field_edges")), "Id").join(shapes, "_copy")
         .withColumn("_chunks", F.ceil(F.col("pieces") / FAN_IN))
         .withColumn("_chunk", F.pmod(F.xxhash64("_copy"), F.col("_chunks")))
         .repartition(kernel_partitions(fields.sparkSession), "Id", "_chunk")
