@@ -4,7 +4,9 @@ Tokens are the words of the lower-cased text, then one end. Corpus counts cover
 
 1. One pass cuts the table into blocks of about `BLOCK_BYTES` of text. A block keeps its distinct words, their training
    counts, and its texts as numbers of words; so a frequent word is summed in the block before anything moves.
-2. Words meet by a grouped sum; each block gets back the totals of its own words only. No vocabulary is broadcast.
+2. Words are dealt to buckets by hash, a block's words of one bucket as one list. A bucket sums its words over all blocks
+   and answers each block with the totals of that block's own words. No vocabulary is broadcast; `BUCKETS` buckets for
+   each shuffle partition keep a bucket small.
 3. N-grams of character classes (`ORDER` of them, 64 classes: at most 64^ORDER, whatever the corpus) are summed alike.
    With absolute discounting they become an automaton: a state for each context that occurs, an arc for each class seen
    after it, and a failure arc, weighted with the backoff mass, to the state of the next shorter context.
@@ -33,6 +35,7 @@ BLOCK_BYTES = 6 << 20
 ORDER, CLASSES = 4, 64
 DISCOUNT = 0.75
 PIECE = 512
+BUCKETS = 4
 #: Tokens never hold white space, so a line break can stand for the end.
 END = "\n"
 
@@ -92,7 +95,7 @@ def _contexts(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _blocks(docs: DataFrame, text: str, key: str, held: Column) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"block long, words array<string>, counts array<long>, grams array<int>, gram_counts array<long>, keys array<{kind}>, held array<boolean>, sizes array<int>, tokens array<int>"
+    schema = f"block long, words array<string>, counts array<long>, grams array<int>, gram_counts array<long>, keys array<{kind}>, held array<boolean>, sizes array<int>, tokens binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,12 +137,66 @@ def _blocks(docs: DataFrame, text: str, key: str, held: Column) -> DataFrame:
             ([*words, END], pa.string()), (np.append(counts, (~out).sum()), pa.int64()), (grams.astype(np.int32), pa.int32()), (gram_counts, pa.int64()))]
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), *lists, pa.array([whole[key].to_pylist()], pa.list_(whole[key].type)), pa.array([out], pa.list_(pa.bool_())),
-             pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([tokens.astype(np.int32)], pa.list_(pa.int32()))],
+             pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([_packed(tokens)], pa.binary())],
             names=["block", "words", "counts", "grams", "gram_counts", "keys", "held", "sizes", "tokens"])
 
     return docs.select(key, F.coalesce(held, F.lit(False)).alias("held"), text).mapInArrow(cut, schema)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers, byte plane by byte plane: the upper planes are nearly empty."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return planes.reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _bucket_order(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words' places bucket by bucket, and where each bucket begins (one more entry than buckets)."""
+    at, flat = _flat(words)
+    filled = np.flatnonzero(np.diff(at) > 0)
+    bucket = np.zeros(len(words), np.int64)
+    bucket[filled] = (span_hashes(flat, at[:-1][filled], at[1:][filled]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, words, counts): each block's words of each bucket."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, counts = batch.column("words")[k].values, batch.column("counts")[k].values
+                order, at = _bucket_order(words.to_pylist(), buckets)
+                used = np.flatnonzero(np.diff(at))
+                bounds = pa.array(np.append(at[used], at[-1]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(used), batch.column("block")[k].as_py())), pa.array(used),
+                     pa.ListArray.from_arrays(bounds, words.take(pa.array(order))), pa.ListArray.from_arrays(bounds, counts.take(pa.array(order)))],
+                    names=["block", "bucket", "words", "counts"])
+
+    return blocks.select("block", "words", "counts").mapInArrow(deal, "block long, bucket long, words array<string>, counts array<long>")
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """Totals of a bucket's words, answered to each block in its own order; block -1 has all tokens and distinct words."""
+    lists = group["words"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    places = coded.indices.to_numpy()
+    counts = group["counts"].combine_chunks().flatten().to_numpy()
+    totals = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(totals, places, counts)
+    lengths = lists.value_lengths().to_numpy()
+    answers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(totals[places]))
+    summary = pa.array([[int(totals.sum()), int((totals > 0).sum())]], pa.list_(pa.int64()))
+    n = group.num_rows
+    return pa.table({"block": pa.array(np.append(group["block"].to_numpy(), -1)), "bucket": pa.array(np.full(n + 1, group["bucket"][0].as_py())),
+                     "totals": pa.concat_arrays([answers, summary])})
+
+
 def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     coded = [w.encode() for w in words]
     return np.concatenate([[0], np.cumsum([len(w) for w in coded])]).astype(np.int64), np.frombuffer(b"".join(coded), np.uint8)
@@ -214,20 +271,23 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     blocks = staged(_blocks(docs, text, key, held), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("nth", "w")).select("block", "nth", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = staged(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("total")), "totals")
-    n_all, distinct = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    totals = staged(_dealt(blocks, buckets).groupBy("bucket").applyInArrow(_summed, "block long, bucket long, totals array<long>"), "totals")
+    zero = F.lit(0).cast("long")
+    n_all, distinct = totals.where("block = -1").agg(F.coalesce(F.sum(F.get("totals", F.lit(0))), zero), F.coalesce(F.sum(F.get("totals", F.lit(1))), zero)).first()
     # at most CLASSES^ORDER rows
     grams = blocks.select(F.explode(F.arrays_zip("grams", "gram_counts")).alias("g")).groupBy("g.grams").agg(F.sum("g.gram_counts").alias("n")).orderBy("grams").toPandas()
     machine = spark.sparkContext.broadcast(BackoffAutomaton(grams["grams"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)))
-    known = words.drop("n").join(totals, "word").select(F.col("block").alias("of"), "nth", "total")
+    known = totals.where("block >= 0").select(F.col("block").alias("of"), "bucket", "totals")
 
     def rate(block: pa.Table, found: pa.Table) -> pa.Table:
         get = lambda name: np.asarray(block[name].combine_chunks().flatten())
         spelled = block["words"].combine_chunks().flatten().to_pylist()
         count = np.zeros(len(spelled), np.int64)
-        count[found["nth"].to_numpy()] = found["total"].to_numpy()
-        tokens, sizes = get("tokens"), get("sizes").astype(np.int64)
+        order, _ = _bucket_order(spelled, buckets)
+        count[order] = found.sort_by("bucket")["totals"].combine_chunks().flatten().to_numpy()
+        sizes = get("sizes").astype(np.int64)
+        tokens = _unpacked(block["tokens"][0].as_py(), int(sizes.sum()))
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         row = np.repeat(np.arange(len(sizes)), sizes)
         logs = np.log10((count + 0.5) / (n_all + 0.5 * (distinct + 1)))
