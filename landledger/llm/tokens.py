@@ -21,7 +21,7 @@ FIRST, GLUED = "\x01", "\x02"
 #: What a text must not hold to be cut into words: marks, two white-space characters in a row, and rare white space.
 UNUSUAL = r"[\x01\x02\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}|[ \n]$"
 #: Words kept per worker in each of two generations.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 _NEWLINE = re.compile(r"[\x00-\x20\x7f-\xa0]")
 
 
@@ -50,11 +50,16 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Words joined by line breaks are encoded in few calls; a line break is a token of its own between them."""
         plain, alone, heads = [], [], []
+        simple = len(self.line_break) == 1
         for word in words:
+            if simple and word.isalnum():
+                plain.append(" " + word)
+                heads.append((word, False))
+                continue
             spelled = self._spelled(word)
             head = spelled[:1] == "\n"
             body = spelled[1:] if head else spelled
-            if len(self.line_break) != 1 or _NEWLINE.search(body, 1) or not body.strip() or (body[0] < "!" and body[0] != " "):
+            if not simple or _NEWLINE.search(body, 1) or not body.strip() or (body[0] < "!" and body[0] != " "):
                 alone.append((word, spelled))
             else:
                 plain.append(body)
