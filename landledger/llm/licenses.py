@@ -90,7 +90,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
         F.array(*[F.struct(F.lit(label).alias("label"), places(body).alias("places")) for label, body in phrases]).alias("base"),
         F.when(any_possible, spots).otherwise(none).alias("spots"),
     )
-    rows = staged(first_pass, "licenses")
+    rows, _ = staged(first_pass, "licenses")
 
     # rarest words first; at most one row per template word
     counts = {r[0]: r[1] for r in rows.select(F.explode("held").alias("word")).groupBy("word").count().collect()}

@@ -174,7 +174,8 @@ def marked(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
     for name in plain:
         names[name] = fresh([*docs.columns, *names.values()], f"near_{name}")
     signed = _signed(docs, text, [names[x] for x in plain[1:]], prefix_depth())
-    return staged(signed.withColumn(names["row"], F.monotonically_increasing_id()), "marked"), names
+    rows, _ = staged(signed.withColumn(names["row"], F.monotonically_increasing_id()), "marked")
+    return rows, names
 
 
 def classes(rows: DataFrame, names: dict[str, str], text: str = "text") -> DataFrame:
@@ -184,11 +185,11 @@ def classes(rows: DataFrame, names: dict[str, str], text: str = "text") -> DataF
     filled = slim.where("size > 0")
     keys = ["key1", "key2", "size"]
     first_row = filled.groupBy(*keys).agg(F.min(F.struct("row", "prefixes")).alias("first"), F.count("*").alias("copies"))
-    reps = staged(first_row.select(*keys, F.col("first.row").alias("rep"), "copies", F.col("first.prefixes").alias("prefixes")), "reps")
+    reps, _ = staged(first_row.select(*keys, F.col("first.row").alias("rep"), "copies", F.col("first.prefixes").alias("prefixes")), "reps")
     shared = reps.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
     first = shared.groupBy("tree", "prefix").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1")
     candidates = components(shared.join(first, ["tree", "prefix"]).select(F.col("rep").alias("u"), "v"))
-    members = staged(candidates.select(F.col("root").alias("comp"), F.col("node").alias("rep")).join(reps.select("rep", "size", "copies"), "rep"), "members")
+    members, _ = staged(candidates.select(F.col("root").alias("comp"), F.col("node").alias("rep")).join(reps.select("rep", "size", "copies"), "rep"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -197,7 +198,7 @@ def classes(rows: DataFrame, names: dict[str, str], text: str = "text") -> DataF
 
     texts = rows.select(c["row"].alias("rep"), F.col(text).alias("text")).join(members.select("rep"), "rep", "left_semi")
     tiles = _tiles(members).join(texts.mapInArrow(sets, "rep long, hashes array<long>"), "rep")
-    compared = staged(tiles.groupBy("comp", "tile_band", "low", "high").applyInArrow(_compare, "rep long, links long, root long"), "compared")
+    compared, _ = staged(tiles.groupBy("comp", "tile_band", "low", "high").applyInArrow(_compare, "rep long, links long, root long"), "compared")
     linked = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(compared.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     told = reps.select(*keys, "rep", "copies").join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -211,7 +212,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows, names = marked(docs.select(key, text), text)
     slim = rows.select(F.col(names["row"]).alias("row"), F.col(key).alias("key"), F.col(names["size"]).alias("n_shingles"))
     told = slim.join(classes(rows, names, text), "row")
-    told = staged(told, "classes")
+    told, _ = staged(told, "classes")
     least = told.groupBy("class_row").agg(F.min("key").alias("class_id"))
     return told.join(least, "class_row").select(F.col("key").alias(key), "class_id", F.col("links").alias("n_links"), "n_shingles")
 

@@ -90,7 +90,7 @@ def sweep(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
-    cut = staged(pieces(docs, path, capacity, end, text, key), "pieces")
+    cut, folder = staged(pieces(docs, path, capacity, end, text, key), "pieces")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, text: s
                 names=[*batch.schema.names, "part", "nth"],
             )
 
-    ranked = staged(cut.repartitionByRange("length", "doc_id", "piece", "ids_crc32").mapInArrow(rank, RANKED), "ranked")
+    ranked, _ = staged(cut.repartitionByRange("length", "doc_id", "piece", "ids_crc32").mapInArrow(rank, RANKED), "ranked", folder)
     # A range-sorted length lies in neighbouring parts: at most (parts + capacity) rows, whatever the input.
     shares = ranked.groupBy("length", "part").count().orderBy("length", "part").collect()
     counts: dict[int, int] = {}

@@ -270,9 +270,9 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (the automaton's)."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    blocks = staged(_blocks(docs, text, key, held), "blocks")
+    blocks, _ = staged(_blocks(docs, text, key, held), "blocks")
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    totals = staged(_dealt(blocks, buckets).groupBy("bucket").applyInArrow(_summed, "block long, bucket long, totals array<long>"), "totals")
+    totals, _ = staged(_dealt(blocks, buckets).groupBy("bucket").applyInArrow(_summed, "block long, bucket long, totals array<long>"), "totals")
     zero = F.lit(0).cast("long")
     n_all, distinct = totals.where("block = -1").agg(F.coalesce(F.sum(F.get("totals", F.lit(0))), zero), F.coalesce(F.sum(F.get("totals", F.lit(1))), zero)).first()
     # at most CLASSES^ORDER rows

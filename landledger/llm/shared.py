@@ -29,16 +29,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application's operators wrote to the shared folder; their results cannot be read afterwards."""
+    delete(spark, _own_folder(spark))
+
 
+def staged(df: DataFrame, name: str, instead_of: str | None = None) -> tuple[DataFrame, str]:
+    """df as a written table, and its folder: computed once, and safe when an executor is lost.
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: computed once, and safe when an executor is lost."""
+    `instead_of` is the folder of a table that df was made from and that nothing else reads; it is deleted.
+    """
     spark = df.sparkSession
     folder = new_folder(spark, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    if instead_of:
+        delete(spark, instead_of)
+    return spark.read.schema(df.schema).parquet(folder), folder
 
 
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
