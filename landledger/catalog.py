@@ -12,6 +12,7 @@ from landledger import derive as D
 from landledger.functions import cells as K
 from landledger.functions import geometry as G
 from landledger.functions.projection import distance_km, polyconic
+from landledger.functions.wkb import from_wkb, to_wkb
 from landledger.operators import agreement as A
 from landledger.operators import candidates as C
 from landledger.operators import corpus as T
@@ -26,6 +27,7 @@ from landledger.plans.spread import spread
 from landledger.plans.stages import Stages
 from landledger.policy import METRES_PER_DEGREE, price_table
 from landledger.portfolio import Portfolio
+from landledger.sources.lists import read_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +71,28 @@ def defect_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def list_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list written as CSV and read again: what each row holds, and which rows are copies."""
+    portfolio = Portfolio(spark, sf_dir)
+    listed = portfolio.stages.table("list", lambda: D.dirty_list(spark, sf_dir, portfolio.parcels))
+    folder = f"{portfolio.stages.root}/list-csv"
+    rows = listed.select(F.col("raw_id").alias("cod_imovel"), F.col("raw_wkt").alias("geometry"), F.col("row_id").alias("place"))
+    rows.repartitionByRange(4, "place").sortWithinPartitions("place").drop("place").write.mode("overwrite").csv(folder, header=True)
+    prepared = R.prepare(read_list(spark, "csv", folder), portfolio.policy)
+    return prepared.groupBy(F.col("raw_id").isNotNull().alias("named"), F.coalesce("geometry.kind", F.lit("")).alias("kind"), "axis_flipped", "duplicate").agg(
+        F.count("*").alias("n_rows"), F.count("geometry.rings").alias("n_shapes")
+    )
+
+
+@query
+def wkb_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines through well-known binary and back."""
+    packed = D.outlines(spark, sf_dir).select("row_key", to_wkb(F.col("geometry")).alias("wkb"))
+    shape = packed.select("row_key", from_wkb("wkb").alias("geometry"))
+    return G.with_shape(shape).select("row_key", F.round("area", 6).alias("area"), "xmin", "ymin", "xmax", "ymax")
+
+
 # -- matching ------------------------------------------------------------------------
 
 view("envelope_clip", lambda p: V.envelope_count(p.fields))
@@ -291,6 +315,13 @@ def session_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.verdicts(grades.select("run", "qid"), written)
 
 
+@query
+def missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions graded missing, as the difference of what was asked and what was written."""
+    grades = D.grades(spark, sf_dir)
+    return S.missing_answers(grades.select("run", "qid"), grades.filter(F.col("outcome") != "missing").select("run", "qid"))
+
+
 def _with_grades(name: str, build) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         grades = Stages.of(spark, sf_dir).table("grades", lambda: D.grades(spark, sf_dir))
@@ -405,6 +436,30 @@ def heartbeat_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.heartbeats(beats.withColumn("seconds", F.col("elapsed_time_seconds")))
 
 
+@query
+def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sortable names of runs started on the order dates."""
+    orders = D.table(spark, sf_dir, "orders")
+    commit = F.md5(F.col("o_orderkey").cast("string"))
+    return orders.select("o_orderkey", U.run_id(F.col("o_orderdate").cast("timestamp"), commit).alias("run"))
+
+
+@query
+def call_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each call is about, from inputs of several forms."""
+    k, e = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_id").cast("string")
+    given = [
+        (k % 5 == 0, F.create_map(F.lit("command"), F.concat(F.lit(" run  "), e, F.lit("\n-x ")), F.lit("path"), F.lit("/unused"))),
+        (k % 5 == 1, F.create_map(F.lit("file_path"), F.concat(F.lit("/data/in/"), e, F.lit("/table.csv")))),
+        (k % 5 == 2, F.create_map(F.lit("command"), F.lit("  "), F.lit("pattern"), F.concat(F.lit("a/b/c/d/"), e))),
+        (k % 5 == 3, F.create_map(F.lit("path"), F.concat(F.lit("in/"), e))),
+    ]
+    payload = F.create_map(F.lit("other"), e)
+    for when, value in reversed(given):
+        payload = F.when(when, value).otherwise(payload)
+    return D.table(spark, sf_dir, "events").select("event_id", U.tool_subject(payload).alias("subject"))
+
+
 @query
 def truncation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.truncation_stats(D.range_readings(spark, sf_dir), ["route"], digits=6)
