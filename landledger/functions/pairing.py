@@ -15,7 +15,7 @@ from landledger.functions.cells import (
     ABS_TOL, FALSE_WORDS, GEOM_INT_SHARE, GEOM_INT_SLACK, GEOM_REL_TOL, NEAR_MISS_FACTOR, REL_TOL, TRUE_WORDS,
 )
 
-# Wider tables keep their column order when a diff is made.
+# Up to so many columns every order is tried; wider tables take the best assignment of columns.
 FREE_COLUMNS = 6
 WORDS = {**dict.fromkeys(TRUE_WORDS, 1.0), **dict.fromkeys(FALSE_WORDS, 0.0)}
 
@@ -117,13 +117,47 @@ def same_table(grid: list[list[np.ndarray]]) -> bool:
     return place(0, frozenset(range(width)), np.ones(grid[0][0].shape, dtype=bool))
 
 
+def _assignment(cost: np.ndarray) -> tuple[int, ...]:
+    """For each column of ``cost`` the row given to it, with the least total (shortest augmenting paths)."""
+    n = len(cost)
+    u, v, owner = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int)
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least, seen, came = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=int)
+        while owner[at]:
+            seen[at] = True
+            open_ = ~seen
+            open_[0] = False
+            reduced = np.r_[np.inf, cost[owner[at] - 1] - u[owner[at]] - v[1:]]
+            better = open_ & (reduced < least)
+            least[better], came[better] = reduced[better], at
+            nearest = int(np.argmin(np.where(open_, least, np.inf)))
+            step = least[nearest]
+            u[owner[seen]] += step
+            v[seen] -= step
+            least[open_] -= step
+            at = nearest
+        while at:
+            owner[at], at = owner[came[at]], came[at]
+    return tuple(int(r) - 1 for r in owner[1:])
+
+
+def _orders(misses: list[list[np.ndarray]]):
+    """Column orders worth trying: all of a narrow table; of a wide one the given order and the best assignment
+    by the golden cells that no answer cell of a column matches."""
+    identity = tuple(range(len(misses)))
+    if len(identity) <= FREE_COLUMNS:
+        return itertools.permutations(identity)
+    lonely = np.array([[m.min(axis=0).sum() for m in row] for row in misses], dtype=float)
+    return [identity, _assignment(lonely)]
+
+
 def best_alignment(grid: list[list[np.ndarray]]) -> tuple[tuple, list[tuple[int, int]]]:
     """Permutation and row pairs with the fewest differing cells, rows paired greedily."""
-    width, identity = len(grid), tuple(range(len(grid)))
+    width = len(grid)
     misses = [[(~m).astype(np.int64) for m in row] for row in grid]
-    orders = itertools.permutations(identity) if width <= FREE_COLUMNS else [identity]
     best = None
-    for order in orders:
+    for order in _orders(misses):
         cost = sum(misses[i][j] for j, i in enumerate(order)).T
         taken = np.zeros(cost.shape[1], dtype=bool)
         pairs, total = [], 0

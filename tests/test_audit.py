@@ -339,3 +339,34 @@ def test_child_calls_beat_under_their_parent(spark):
     rows = [("r", 1, "child", "parent", 30.0), ("r", 2, "parent", None, 61.0), ("r", 3, "child", "parent", 125.0)]
     beats = spark.createDataFrame(rows, "run string, arrival int, tool_use_id string, parent_tool_use_id string, seconds double")
     assert {(r.tool_use_id, r.shown_at) for r in U.heartbeats(beats).collect()} == {("parent", 61.0), ("parent", 125.0)}
+
+
+def test_assignment_has_the_least_total():
+    import itertools
+
+    import numpy as np
+
+    from landledger.functions.pairing import _assignment
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 6):
+        cost = rng.integers(0, 9, (n, n)).astype(float)
+        got = _assignment(cost)
+        least = min(sum(cost[r, j] for j, r in enumerate(p)) for p in itertools.permutations(range(n)))
+        assert sorted(got) == list(range(n)) and sum(cost[r, j] for j, r in enumerate(got)) == least
+
+
+def test_wide_tables_are_aligned_whatever_their_column_order(spark):
+    rng = random.Random(8)
+    golden = [[f"g{j}-{rng.randint(0, 10**6)}" for j in range(9)] for _ in range(12)]
+    order = [4, 8, 0, 2, 7, 1, 3, 6, 5]
+    answer = [[row[j] for j in order] for row in golden]
+    answer[3][order.index(6)] = "wrong"
+    rng.shuffle(answer)
+    tables = spark.createDataFrame([("q", k, r) for k, r in enumerate(golden)], "qid string, row_no int, cells array<string>")
+    given = spark.createDataFrame([("r", "q", k, r) for k, r in enumerate(answer)], "run string, qid string, row_no int, cells array<string>")
+    asked = spark.createDataFrame([("q", False, [f"c{j}" for j in range(9)])], "qid string, geometry boolean, header array<string>")
+    expected = spark.createDataFrame([("r", "q", True)], "run string, qid string, written boolean")
+    (row,) = Q.grade(expected, given, tables, asked).collect()
+    assert row.outcome == "wrong"
+    assert [(d.row, d.column, d.golden, d.answer) for d in row.diffs] == [(3, "c6", golden[3][6], "wrong")]
