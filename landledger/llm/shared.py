@@ -87,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def fresh(taken: list[str], name: str) -> str:
