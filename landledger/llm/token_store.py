@@ -33,6 +33,7 @@ KEYS_PER_BUCKET = 4096
 #: A key with more documents than this is looked up as several ranges.
 RANGE = 1 << 14
 SHARDS = "part int, name string, docs long, ids long"
+INDEX = "bucket long, bits binary, sizes array<long>, prints array<long>, first array<long>, many array<long>"
 
 
 @dataclass
@@ -47,7 +48,7 @@ class Store:
 
     @property
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/index")
+        return self.spark.read.schema(INDEX).parquet(f"{self.folder}/index")
 
     def layout(self) -> list[tuple[int, str, int, int, int, int]]:
         """(part, name, documents, ids, documents before, ids before) of each shard; a few numbers a file."""
@@ -99,18 +100,14 @@ def write_store(docs: DataFrame, path: str, end: int = 0, text: str = "text", ke
     written = spark.read.parquet(f"{folder}/rows")
     written.groupBy("part", "name").agg(F.count("*").alias("docs"), F.sum("n_ids").alias("ids")).write.parquet(f"{folder}/shards")
     store = Store(spark, folder)
-    before = {part: docs for part, _, _, _, docs, _ in store.layout()}
-    places = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map()
-    if not before:
-        spark.createDataFrame([], "bucket long, bits binary, sizes array<long>, prints array<long>, first array<long>, many array<long>").write.parquet(f"{folder}/index")
-        return store
+    before = spark.createDataFrame([(part, docs) for part, _, _, _, docs, _ in store.layout()], "part int, before long")
     buckets = max(1, -(-n_rows // KEYS_PER_BUCKET))
     entries = (
-        written.withColumn("at", F.col("nth") + F.element_at(places, F.col("part")).cast("long"))
+        written.join(before, "part").withColumn("at", F.col("nth") + F.col("before"))
         .groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("many"))
         .select(F.pmod(_hash("key", 1), F.lit(buckets)).alias("bucket"), _hash("key", 2).alias("hash"), _hash("key", 3).alias("print"), "first", "many")
     )
-    entries.groupBy("bucket").applyInArrow(_build, "bucket long, bits binary, sizes array<long>, prints array<long>, first array<long>, many array<long>").write.parquet(f"{folder}/index")
+    entries.groupBy("bucket").applyInArrow(_build, INDEX).write.parquet(f"{folder}/index")
     return store
 
 
@@ -154,7 +151,7 @@ def _build(group: pa.Table) -> pa.Table:
     lists = [pa.array([group[name].to_numpy()[order]], pa.list_(pa.int64())) for name in ("print", "first", "many")]
     bits = np.packbits(np.concatenate(levels)).tobytes()
     return pa.Table.from_arrays(
-        [group["bucket"].combine_chunks()[:1] if isinstance(group["bucket"], pa.ChunkedArray) else group["bucket"][:1], pa.array([bits], pa.binary()),
+        [pa.array([group["bucket"][0].as_py()], pa.int64()), pa.array([bits], pa.binary()),
          pa.array([[len(x) for x in levels]], pa.list_(pa.int64())), *lists],
         names=["bucket", "bits", "sizes", "prints", "first", "many"],
     )
