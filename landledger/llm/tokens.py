@@ -21,7 +21,7 @@ FIRST, GLUED = "\x01", "\x02"
 #: What a text must not hold to be cut into words: marks, two white-space characters in a row, and rare white space.
 UNUSUAL = r"[\x01\x02\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}|[ \n]$"
 #: Words kept per worker in each of two generations.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _NEWLINE = re.compile(r"[\x00-\x20\x7f-\xa0]")
 
 
