@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landledger.llm import decontaminate, html, language, licenses, near, packing, pii, quality, scoring, token_store
+from landledger.llm import decontaminate, html, language, licenses, near, ngrams, packing, pii, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -60,7 +60,7 @@ def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold(5, 1))
+    return ngrams.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold(5, 1))
 
 
 @query
