@@ -6,7 +6,7 @@ it has none. The fewer phrases a text needs per symbol, the better the language
 
 Symbols are lower-case letters; what stands between letters counts as one gap. Texts are parsed in pieces of `PIECE`
 symbols, all pieces of a block of texts side by side, through one table of all automata. The automata are built from at
-most `SAMPLE_TEXTS` texts (expected) and exactly up to `SAMPLE_SYMBOLS` symbols a language.
+most `SAMPLE_TEXTS` different texts and `SAMPLE_SYMBOLS` symbols a language, as many from each text.
 
 Null texts and texts without a letter are `und` with score 0. With no labelled text all are `und`; with one language all
 have score 1. Ties go to the language first in order. Labels that are null teach nothing. Repeated rows are predicted
@@ -15,13 +15,14 @@ alike. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landledger.llm.shared import slices
@@ -89,13 +90,22 @@ class SuffixAutomaton:
             last = state
 
 
+def _letters(samples: list[np.ndarray]) -> np.ndarray:
+    """LETTERS letters dealt to the languages in turn: each one's first, then each one's second, by its own counts."""
+    place: dict[int, int] = {}
+    for sample in samples:
+        points, counts = np.unique(sample[sample > 0], return_counts=True)
+        for k, letter in enumerate(points[np.argsort(-counts, kind="stable")].tolist()):
+            place[letter] = min(k, place.get(letter, k))
+    return np.array(sorted(place, key=lambda x: (place[x], x))[:LETTERS], np.uint32)
+
+
 class Parser:
     """All languages' automata as one table: for a state and symbol, the next state and the phrases that end."""
 
     def __init__(self, samples: dict[str, np.ndarray]):
         self.languages = sorted(samples)
-        points, counts = np.unique(np.concatenate([samples[x] for x in self.languages]), return_counts=True) if samples else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        known = points[points > 0][np.argsort(-counts[points > 0], kind="stable")][:LETTERS]
+        known = _letters([samples[x] for x in self.languages])
         self.known = np.sort(known)
         self.width = len(known) + 3
         self.stay = self.width - 1
@@ -150,19 +160,39 @@ class Parser:
         return out
 
 
+def _cut(bodies: list[str]) -> np.ndarray:
+    """Up to SAMPLE_SYMBOLS symbols: as many from each text, more from long ones where others are short, at a place chosen by hash."""
+    parts = sorted((_points(pa.array([body]))[0] for body in bodies), key=len)
+    out, left = [], SAMPLE_SYMBOLS
+    for k, points in enumerate(parts):
+        size = min(len(points), left // (len(parts) - k) - 1)
+        if size > 0:
+            at = zlib.crc32(points.tobytes()) % (len(points) - size + 1)
+            out.append(np.append(points[at : at + size], np.uint32(0)))
+            left -= size + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
 def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Parser:
-    """From labelled texts: about SAMPLE_TEXTS texts of each label by hash of the text, up to SAMPLE_SYMBOLS symbols."""
+    """From labelled texts: SAMPLE_TEXTS different texts of each label (or all), SAMPLE_SYMBOLS symbols in all.
+
+    A hash deals out the texts, another one orders them; of each a window of TEXT_SYMBOLS characters at a place chosen by
+    hash is collected.
+    """
     labelled = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(label).agg(F.approx_count_distinct(text)).collect()}
     if not counts:
         return Parser({})
-    steps = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, max(1, n // SAMPLE_TEXTS))])
+    # half as many again, as the number of different texts is estimated
+    steps = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, max(1, 2 * n // (3 * SAMPLE_TEXTS)))])
     mark = F.pmod(F.xxhash64(text), F.element_at(steps, F.col(label)).cast("long"))
-    rows = labelled.where(mark == 0).select(label, F.substring(text, 1, TEXT_SYMBOLS).alias(text)).distinct().limit(4 * SAMPLE_TEXTS * len(counts)).collect()
-    samples: dict[str, list[np.ndarray]] = {}
-    for name, body in sorted(map(tuple, rows)):
-        samples.setdefault(name, []).append(np.append(_points(pa.array([body]))[0], np.uint32(0)))
-    return Parser({name: np.concatenate(parts)[:SAMPLE_SYMBOLS] for name, parts in samples.items()})
+    at = F.pmod(F.xxhash64(F.lit(2), text), F.greatest(F.length(text) - TEXT_SYMBOLS, F.lit(0)) + 1).cast("int") + 1
+    rows = labelled.where(mark == 0).select(label, F.xxhash64(F.lit(1), text).alias("turn"), F.substring(F.col(text), at, F.lit(TEXT_SYMBOLS)).alias(text)).distinct()
+    first = F.row_number().over(Window.partitionBy(label).orderBy("turn", text))
+    samples: dict[str, list[str]] = {}
+    for name, body in sorted(rows.withColumn("place", first).where(F.col("place") <= SAMPLE_TEXTS).select(label, text).collect()):
+        samples.setdefault(name, []).append(body)
+    return Parser({name: _cut(bodies) for name, bodies in samples.items()})
 
 
 def predict(docs: DataFrame, parser: Parser, text: str = "text", key: str = "doc_id", also: dict[str, Column] | None = None) -> DataFrame:

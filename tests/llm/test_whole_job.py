@@ -2,11 +2,12 @@
 
 import collections
 import math
+import random
 
 from helpers import SOLID, awkward, documents, empty, fold, lower, real
 from pyspark.sql import functions as F
 
-from landledger.llm import ngrams
+from landledger.llm import language, ngrams
 
 # -- 6 scoring --------------------------------------------------------------------------
 
@@ -50,3 +51,37 @@ def test_scores_tell_numbers_apart(spark):
 def test_scoring_nothing_by_tokens(spark):
     assert ngrams.score(empty(spark), F.lit(False)).count() == 0
     assert ngrams.score(documents(spark, real(2)), F.lit(True)).where("n_known > 0 or train_tokens > 0").count() == 0
+
+
+# -- 5 language -------------------------------------------------------------------------
+
+
+def test_sample_is_not_the_first_texts_in_order(spark):
+    """Near copies that sort first filled a language's automaton."""
+    rng = random.Random(4)
+    vocabulary = {x: ["".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 7))) for _ in range(40)] for x in ("en", "fr")}
+
+    def body(lang):
+        return " ".join(rng.choices(vocabulary[lang], k=400))
+
+    rows = [(k, f"aa {k} {'aardvark bazaar ' * 250}", "en") for k in range(20)] + [(100 + k, body(x), x) for k in range(100) for x in ("en", "fr")]
+    docs = documents(spark, [(*r, "x", "y", "z") for r in rows])
+    parser = language.learn(docs)
+    fresh = documents(spark, [(k, body(x), x, "x", "y", "z") for k in range(20) for x in ("en", "fr")])
+    assert language.predict(fresh, parser, also={"lang": F.col("lang")}).where("lang <> lang_pred").count() == 0
+
+
+def test_each_text_gives_as_many_symbols():
+    sample = language._cut([chr(0x4E00 + k) * 3000 for k in range(100)])
+    assert len(sample) <= language.SAMPLE_SYMBOLS
+    shares = collections.Counter(sample[sample > 0].tolist())
+    assert len(shares) == 100 and max(shares.values()) - min(shares.values()) <= 1
+
+
+def test_letters_of_each_language():
+    """A language with little text had no letters of its own."""
+    import numpy as np
+
+    many = np.repeat(np.arange(1000, 1000 + 2 * language.LETTERS, dtype=np.uint32), 200)
+    few = np.repeat(np.arange(5000, 5010, dtype=np.uint32), 3)
+    assert set(range(5000, 5010)) <= set(language.Parser({"a": many, "b": few}).known.tolist())
