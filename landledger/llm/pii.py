@@ -368,8 +368,25 @@ def report(docs: DataFrame, tagger: Tagger | None = None, text: str = "text", ke
     return docs.select(key, text).mapInArrow(scan, f"{key} {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
+def covering(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans in order of place; those that overlap as one, with the kind of the longest of them, the first on a tie."""
+    out: list[tuple[str, int, int]] = []
+    longest = 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if not out or a >= out[-1][2]:
+            out.append((kind, a, b))
+            longest = b - a
+            continue
+        if b - a > longest:
+            longest = b - a
+        else:
+            kind = out[-1][0]
+        out[-1] = (kind, out[-1][1], max(b, out[-1][2]))
+    return out
+
+
 def redact(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets. Same rows and columns."""
+    """docs with every span replaced by its kind in brackets, spans that overlap by one. Same rows and columns."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger or train(docs, text))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,10 +395,8 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") ->
             if any(every):
                 texts = batch.column(text).to_pylist()
                 for k, spans in enumerate(every):
-                    floor = len(texts[k]) if spans else 0
-                    for kind, a, b in sorted(spans, key=lambda s: (s[1], s[2]), reverse=True):
-                        texts[k] = f"{texts[k][:a]}[{kind.upper()}]{texts[k][max(b, a) if b <= floor else floor:]}"
-                        floor = a
+                    for kind, a, b in reversed(covering(spans)):
+                        texts[k] = f"{texts[k][:a]}[{kind.upper()}]{texts[k][b:]}"
                 at = batch.schema.get_field_index(text)
                 batch = batch.set_column(at, batch.schema.field(text), pa.array(texts, batch.schema.field(text).type))
             yield batch

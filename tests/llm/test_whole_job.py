@@ -7,7 +7,7 @@ import random
 from helpers import SOLID, awkward, documents, empty, fold, lower, real
 from pyspark.sql import functions as F
 
-from landledger.llm import language, ngrams
+from landledger.llm import language, ngrams, pii
 
 # -- 6 scoring --------------------------------------------------------------------------
 
@@ -85,3 +85,18 @@ def test_letters_of_each_language():
     many = np.repeat(np.arange(1000, 1000 + 2 * language.LETTERS, dtype=np.uint32), 200)
     few = np.repeat(np.arange(5000, 5010, dtype=np.uint32), 3)
     assert set(range(5000, 5010)) <= set(language.Parser({"a": many, "b": few}).known.tolist())
+
+
+# -- 3 personal data --------------------------------------------------------------------
+
+
+def test_spans_inside_others_are_replaced_once(spark):
+    """The outer span was replaced up to the inner one's start only."""
+    want = {"write user+49123456789@example.com now": "write [EMAIL] now", "call +44.20.79.46.0958 now": "call [PHONE] now",
+            "to a4111111111111111b@pay.example.org.": "to [EMAIL].", "no span 12": "no span 12"}
+    docs = documents(spark, [(k, text, "en", "x", "y", "z") for k, text in enumerate(want)])
+    got = {r.doc_id: r.text for r in pii.redact(docs, pii.Tagger()).collect()}
+    for k, (text, done) in enumerate(want.items()):
+        if len(pii.rule_spans(text)):
+            assert got[k] == done
+    assert pii.covering([("email", 0, 9), ("phone", 5, 20), ("ip", 20, 27)]) == [("phone", 0, 20), ("ip", 20, 27)]
