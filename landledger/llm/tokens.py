@@ -2,7 +2,8 @@
 
 The byte-level pre-tokenizer never joins text across a place where a character that is not white space is followed
 by white space, so ids of a text are the ids of its words, each with the blank or line break before it. Texts in
-which white space follows white space, or with control characters used as marks here, are encoded as they are.
+which white space follows white space, with control characters used as marks here, or with an added token of the tokenizer
+(a special one, say) are encoded as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one are encoded as they are.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -99,6 +101,8 @@ class Encoder:
         """Ids of all rows end to end, each row's followed by `end`, and row bounds."""
         column = pc.fill_null(column, "").cast(pa.large_string())
         odd = pc.match_substring_regex(column, UNUSUAL).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd = odd | pc.match_substring(column, token).to_numpy(zero_copy_only=False)
         usual = pc.if_else(pa.array(odd), "", column)
         cut = pc.replace_substring_regex(usual, r"([\pL\pN])([.,])", rf"\1 {GLUED}\2")
         cut = pc.replace_substring(cut, "\n", " \n")

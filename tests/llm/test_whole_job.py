@@ -4,10 +4,13 @@ import collections
 import math
 import random
 
+import pyarrow as pa
+import pytest
 from helpers import SOLID, awkward, documents, empty, fold, lower, real
 from pyspark.sql import functions as F
 
-from landledger.llm import language, ngrams, pii
+from landledger.llm import language, ngrams, pii, token_store, tokens
+from landledger.llm.queries import tokenizer_path
 
 # -- 6 scoring --------------------------------------------------------------------------
 
@@ -100,3 +103,27 @@ def test_spans_inside_others_are_replaced_once(spark):
         if len(pii.rule_spans(text)):
             assert got[k] == done
     assert pii.covering([("email", 0, 9), ("phone", 5, 20), ("ip", 20, 27)]) == [("phone", 0, 20), ("ip", 20, 27)]
+
+
+# -- 1, 7 tokens ------------------------------------------------------------------------
+
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "one two<|endoftext|>three", "plain words", "<|endoftext|", None]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_added_tokens_are_encoded_like_the_plain_call(plain):
+    ids, at = tokens.Encoder(tokenizer_path()).encode(pa.array(MARKED), 0)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*plain(t), 0] for t in MARKED]
+
+
+def test_added_tokens_in_the_store(spark, plain):
+    docs = documents(spark, [(k, text, "en", "x", "y", "z") for k, text in enumerate(MARKED)])
+    got = token_store.read_store(token_store.write_store(docs, tokenizer_path()), docs.select("doc_id")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {k: len(plain(t)) + 1 for k, t in enumerate(MARKED)}
