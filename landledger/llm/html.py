@@ -1,7 +1,9 @@
 """Main text of web pages: the best contiguous region by maximum-scoring subsequence.
 
-A page is a row of words and tags. Elements that are never part of an article (menus, forms, scripts, adverts and so on,
-by tag name, role, class or id) are taken out first. Words then score positive and tags negative: each kind's weight is
+A page is a row of words and tags. Elements that are never part of an article (menus, forms, scripts and so on, by tag
+name or role) are taken out first. What a class or id calls an advert, comment and the like is an aside, unless it holds
+the page's labelled article: it is taken out too, but where no article is labelled its own best run counts, at half its
+sum, against the page's. Words then score positive and tags negative: each kind's weight is
 the log-odds of standing inside an article, learned from a sample of pages whose markup labels the article (exactly one
 `article` or `main` element). One linear scan finds the run with the largest sum, the longer one on a tie; its text is
 the result, one line per block.
@@ -47,30 +49,57 @@ NAMED = frozenset(
     "subscription newsletter signup login search pagination pager toolbar widget widgets skip tracking".split()
 )
 HOLDERS = frozenset(("article", "main"))
-WORD, BLOCK = "#word", "#block"
+#: Parts of a class name after which it says what an element has or lacks, not what it is.
+ABOUT = frozenset("no has have with without hide hides show shows is not".split())
+#: An aside's run counts for so much of its sum against the run outside of all asides.
+ASIDE_SHARE = 0.5
+OPENED = re.compile(r"<(article|main)[\s/>]", re.I)
+WORD, BLOCK, ASIDE = "#word", "#block", "#aside"
 
 
-def _foreign(name: str, attributes: str, inside: bool) -> bool:
+def _foreign(name: str, attributes: str, inside: bool) -> str:
+    """NEVER for what is no part of an article in any case, ASIDE for what its class or id calls so, or nothing."""
     if name in NEVER or (name == "header" and not inside):
-        return True
+        return "never"
     if not attributes or name in ("html", "body"):
-        return False
+        return ""
+    aside = ""
     for match in MARKS.finditer(attributes):
         kind = match[1].lower()
         value = (match[2] or match[3] or match[4] or "").lower()
         if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and value in ROLES):
-            return True
+            return "never"
         if kind in ("class", "id"):
-            parts = re.split(r"[^a-z0-9]+", value)
+            parts = [p for one in value.split() for p in _named_parts(one)]
             if any(p in NAMED for p in parts) or ("header" in parts and not inside and name not in HOLDERS):
-                return True
-    return False
+                aside = ASIDE
+    return aside
+
+
+def _named_parts(one: str) -> list[str]:
+    """Parts of one class name, without those that it says an element has or lacks."""
+    parts = re.split(r"[^a-z0-9]+", one)
+    cut = next((k for k, p in enumerate(parts[:-1]) if p in ABOUT), len(parts))
+    return parts[:cut]
 
 
 def events(page: str, clean: bool = True) -> list[tuple[str, str]]:
     """Tags as (name or /name, '') and text as (WORD, text) in page order; without foreign elements where clean."""
+    return _read(page, clean)[0]
+
+
+def _read(page: str, clean: bool) -> tuple[list[tuple[str, str]], list[list[tuple[str, str]]], bool]:
+    """The page's events, those of each aside that was taken out of them, and whether the labelled element is among the first.
+
+    The labelled element is the only `main` of a page, or else its only `article`. An aside that holds it stays.
+    """
+    opened = Counter(m[1].lower() for m in OPENED.finditer(page)) if clean else Counter()
+    label = next((x for x in ("main", "article") if opened[x] == 1), "")
+    asides: list[list[tuple[str, str]]] = []
     out: list[tuple[str, str]] = []
-    skipping, depth, holders, at = "", 0, 0, 0
+    frames: list[list] = []  # of open asides: name, depth, and the events around
+    places: dict[str, list[int]] = {}  # of the frames of each name
+    skipping, depth, holders, at, labelled = "", 0, 0, 0, False
     for match in TOKEN.finditer(page):
         if not skipping and match.start() > at:
             out.append((WORD, page[at : match.start()]))
@@ -88,16 +117,45 @@ def events(page: str, clean: bool = True) -> list[tuple[str, str]]:
             continue
         if name in HOLDERS:
             holders = max(0, holders + (-1 if close else 1))
-        if clean and not close and name not in VOID and _foreign(name, match[4] or "", holders > 0):
+        bare = (match[4] or "").rstrip().endswith("/")
+        foreign = _foreign(name, match[4] or "", holders > 0) if clean and not close and name not in VOID else ""
+        if foreign == "never":
             if name in HOLDERS:
                 holders -= 1
-            if not (match[4] or "").rstrip().endswith("/"):
+            if not bare:
                 skipping, depth = name, 1
             continue
+        if not close and name == label:
+            labelled = True
+            for _, _, around in frames:  # what holds the labelled element is no aside
+                around.append((BLOCK, ""))
+            out = [x for _, _, around in frames for x in around] + out
+            frames, places = [], {}
+        elif foreign and not bare:
+            places.setdefault(name, []).append(len(frames))
+            frames.append([name, 1, out])
+            out = []
+            continue
+        elif foreign:
+            continue
+        if places.get(name):
+            mine = places[name][-1]
+            frames[mine][1] += -1 if close else 1
+            if frames[mine][1] == 0:
+                while len(frames) > mine:  # asides within that were not closed end here, too
+                    held, _, around = frames.pop()
+                    places[held].pop()
+                    asides.append(out)
+                    out = around
+                    out.append((BLOCK, ""))
+                continue
         out.append((("/" if close else "") + name, ""))
     if not skipping and at < len(page):
         out.append((WORD, page[at:]))
-    return out
+    for _, _, around in reversed(frames):
+        asides.append(out)
+        out = around
+    return out, asides, labelled
 
 
 def count_labelled(page: str) -> tuple[Counter, Counter] | None:
@@ -148,9 +206,19 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    items = events(page)
+    items, asides, labelled = _read(page, True)
     word = weights.get(WORD, 1.0)
-    lo, hi = best_region([word * len(text.split()) if name == WORD else _weight(weights, name) for name, text in items])
+
+    def run(items: list[tuple[str, str]]) -> tuple[float, int, int]:
+        scores = [word * len(text.split()) if name == WORD else _weight(weights, name) for name, text in items]
+        lo, hi = best_region(scores)
+        return sum(scores[lo:hi]), lo, hi
+
+    best, lo, hi = run(items)
+    for aside in [] if labelled else asides:
+        total, first, last = run(aside)
+        if total * ASIDE_SHARE > best:
+            best, items, lo, hi = total * ASIDE_SHARE, aside, first, last
     blocks, parts = [], []
     for name, text in [*items[lo:hi], (BLOCK, "")]:
         if name == WORD:

@@ -9,7 +9,7 @@ import pytest
 from helpers import SOLID, awkward, documents, empty, fold, lower, real
 from pyspark.sql import functions as F
 
-from landledger.llm import language, ngrams, pii, token_store, tokens
+from landledger.llm import html, language, ngrams, pii, token_store, tokens
 from landledger.llm.queries import tokenizer_path
 
 # -- 6 scoring --------------------------------------------------------------------------
@@ -127,3 +127,24 @@ def test_added_tokens_in_the_store(spark, plain):
     docs = documents(spark, [(k, text, "en", "x", "y", "z") for k, text in enumerate(MARKED)])
     got = token_store.read_store(token_store.write_store(docs, tokenizer_path()), docs.select("doc_id")).collect()
     assert {r.doc_id: r.n_tokens for r in got} == {k: len(plain(t)) + 1 for k, t in enumerate(MARKED)}
+
+
+# -- 9 main text ------------------------------------------------------------------------
+
+BODY = "one two three four five six seven eight nine ten"
+WEIGHTS = {html.WORD: 1.0, "p": -0.001, "/p": -0.001, "article": -6.0, "/article": -6.0}
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='page no-sidebar'><article><p>{BODY}</p></article></div></body>",
+    f"<div class='content has-sidebar'><p>{BODY}</p></div>",
+    f"<div class='post comment-open'><p>{BODY}</p></div>",
+    f"<article class='related-story'><p>{BODY}</p></article>",
+    f"<div class='sidebar'><div id=widget><p>teaser</p><main class='with-ads'><p>{BODY}</p></main></div></div>",
+    f"<p>{BODY}</p><div class='ad'><p>buy this now</p></div>",
+    f"<article><p>{BODY}</p></article><div class='comments'><p>{BODY} {BODY} {BODY}</p></div>",
+    f"<div class=ad>buy<div class='ad'>now</div></div><div class='post comment-open'><p>{BODY}</p></div><div class='ad'>and this",
+    f"<div class=ad><p class=promo>buy</div><p>{BODY}</p>",
+])
+def test_class_names_do_not_take_the_article_out(page):
+    assert html.extract(page, WEIGHTS) == BODY
