@@ -101,6 +101,7 @@ def fresh(taken: list[str], name: str) -> str:
 def sample_texts(df: DataFrame, text: str, rows: int) -> list[str]:
     """Up to `rows` different texts, those of certain hashes; only about that many leave the executors."""
     df = df.where(F.col(text).isNotNull())
-    step = max(1, df.count() // rows)
+    different = df.agg(F.approx_count_distinct(text)).first()[0]  # copies of a text are one
+    step = max(1, different // rows)
     mark = F.pmod(F.xxhash64(text), F.lit(step)) == 0
     return [r[0] for r in df.where(mark).select(text).distinct().orderBy(F.xxhash64(text), text).limit(rows).collect()]

@@ -9,7 +9,7 @@ import pytest
 from helpers import SOLID, awkward, documents, empty, fold, lower, real
 from pyspark.sql import functions as F
 
-from landledger.llm import html, language, ngrams, pii, token_store, tokens
+from landledger.llm import html, language, ngrams, pii, shared, token_store, tokens
 from landledger.llm.queries import tokenizer_path
 
 # -- 6 scoring --------------------------------------------------------------------------
@@ -148,3 +148,13 @@ WEIGHTS = {html.WORD: 1.0, "p": -0.001, "/p": -0.001, "article": -6.0, "/article
 ])
 def test_class_names_do_not_take_the_article_out(page):
     assert html.extract(page, WEIGHTS) == BODY
+
+
+# -- samples of texts -------------------------------------------------------------------
+
+
+def test_sample_of_a_table_of_copies(spark):
+    """The step came from the rows, copies included: few or none of the different texts were left."""
+    rows = [(k, f"text {k % 60}", "en", "x", "y", "z") for k in range(3000)]
+    assert len(shared.sample_texts(documents(spark, rows), "text", 40)) == 40
+    assert len(shared.sample_texts(documents(spark, rows), "text", 100)) == 60
