@@ -2,9 +2,9 @@
 
 1. Each text's shingles are hashed to 64 bits. Texts with the same set (exact copies and the like) are one
    representative with a number of copies; from here on only representatives move.
-2. MinHash LSH forest: `TREES` tries over signatures of up to `DEEPEST` minima each. Two texts are candidates where they
-   share a prefix in some trie. The prefix starts at full depth and is shortened until a pair at the threshold is found
-   with the target recall, 1 - (1 - threshold^depth)^trees >= `RECALL`; pairs above the threshold are found more surely.
+2. MinHash in fixed bands, in place of an LSH forest: two texts are candidates where they share a prefix of the minima of
+   one of `TREES` trees. Its depth is the same for all, the longest that finds a pair at the threshold with the target
+   recall, 1 - (1 - threshold^depth)^trees >= `RECALL`; pairs above the threshold are found more surely.
 3. The sharers of a prefix are linked to its least member, which keeps the links linear in the sharers; the connected
    groups of these links hold every candidate pair.
 4. Exact verification inside each group. A group of more than `TILE` members is cut into bands by set size (sets of
