@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landledger.llm import decontaminate, html, language, licenses, near, ngrams, packing, pii, quality, token_store
+from landledger.llm import copies, decontaminate, html, language, licenses, manifest, near, ngrams, packing, pii, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -84,3 +84,16 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontaminate.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return report.drop("items")
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.mark(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *manifest.FIELDS)
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return manifest.prove(docs, claims={"text": tampered}).drop("proof")
