@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landledger.llm import copies, decontaminate, html, language, licenses, manifest, near, ngrams, packing, pii, quality, token_store
+from landledger.llm import copies, decontaminate, html, language, licenses, manifest, near, ngrams, packing, pii, quality, repair, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -97,3 +97,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
     tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
     return manifest.prove(docs, claims={"text": tampered}).drop("proof")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.report(repair.damage(convs), everyone=convs)
