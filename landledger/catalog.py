@@ -28,6 +28,7 @@ from landledger.plans.stages import Stages
 from landledger.policy import METRES_PER_DEGREE, price_table
 from landledger.portfolio import Portfolio
 from landledger.sources.lists import read_list
+from landledger.streaming import windows as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -465,6 +466,31 @@ def truncation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.truncation_stats(D.range_readings(spark, sf_dir), ["route"], digits=6)
 
 
+# -- time windows --------------------------------------------------------------------
+
+def _windows(windows: DataFrame, keys: list[str]) -> DataFrame:
+    stamps = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("opened", "closed")]
+    return W.rates(windows).select(*stamps, *keys, "events", *[F.round(c, 6).alias(c) for c in ("value", "most", "per_hour", "mean")])
+
+
+@query
+def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per type and hour."""
+    return _windows(W.tumbling(D.table(spark, sf_dir, "events"), "1 hour", ["event_type"]), ["event_type"])
+
+
+@query
+def event_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per type over a day, told every six hours."""
+    return _windows(W.sliding(D.table(spark, sf_dir, "events"), "1 day", "6 hours", ["event_type"]), ["event_type"])
+
+
+@query
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events less than six hours apart."""
+    return _windows(W.sessions(D.table(spark, sf_dir, "events"), "6 hours", ["user_id"]), ["user_id"])
+
+
 # -- documents -----------------------------------------------------------------------
 
 @query
