@@ -84,9 +84,110 @@ DECONTAMINATION = f"""
            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
     FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+COPIES = r"""
+    WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS sha FROM documents),
+    g AS (SELECT sha, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY sha)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha AS text_sha256 FROM t JOIN g USING (sha)"""
+
+
+def _crc(value: str) -> str:
+    """CRC-32 of an ASCII text, a bit at a time."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({value}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree(leaves: str, own: str, name: str) -> str:
+    """Nodes by level, the runs they make, and the way of `own` up through them with the siblings met."""
+    return f"""{name}_up AS (
+        SELECT 0 AS level, tree, spot, digest, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+        UNION ALL
+        SELECT level + 1, tree, spot // 3, sha256(string_agg(digest, '' ORDER BY spot)), (max(n) + 2) // 3 FROM {name}_up WHERE n > 1 GROUP BY level, tree, spot // 3),
+    {name}_runs AS (SELECT level, tree, spot // 3 AS parent, list(digest ORDER BY spot) AS run FROM {name}_up WHERE n > 1 GROUP BY level, tree, spot // 3),
+    {name}_top AS (SELECT tree, max(level) AS level, arg_max(digest, level) AS digest FROM {name}_up GROUP BY tree),
+    {name}_way AS (
+        SELECT doc_id, tree, spot, 0 AS level, folded, proof FROM {own}
+        UNION ALL
+        SELECT doc_id, w.tree, spot // 3, w.level + 1, sha256(array_to_string(list_concat(run[:spot % 3], [folded], run[spot % 3 + 2:]), '')),
+               proof || array_to_string(list_concat(run[:spot % 3], run[spot % 3 + 2:]), '')
+        FROM {name}_way AS w JOIN {name}_runs AS r ON r.tree = w.tree AND r.level = w.level AND r.parent = spot // 3),
+    {name}_end AS (SELECT w.* FROM {name}_way AS w JOIN {name}_top AS t ON t.tree = w.tree AND t.level = w.level)"""
+
+
+MANIFEST = f"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, coalesce('1' || source, '0') AS tree, {_leaf("text")} AS digest,
+               {_leaf("CASE WHEN " + _crc("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS folded FROM documents),
+    leaves AS (SELECT *, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS spot FROM d),
+    {_tree("leaves", "leaves", "low")},
+    groups AS (SELECT '' AS tree, tree AS of, digest, row_number() OVER (ORDER BY tree) - 1 AS spot FROM low_top),
+    entered AS (SELECT doc_id, g.tree, g.spot, folded, proof FROM low_end AS e JOIN groups AS g ON g.of = e.tree),
+    {_tree("groups", "entered", "high")}
+    SELECT doc_id, l.digest AS leaf, i.digest AS subroot, o.digest AS root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root, e.folded = o.digest AS verified
+    FROM leaves AS l JOIN low_top AS i ON i.tree = l.tree JOIN high_end AS e USING (doc_id), high_top AS o"""
+
+
+def _repair() -> str:
+    """Cost (nine digits) and audit as one text per state, so that the least text is the answer; rows from the last to the first."""
+
+    def more(rest: str, cost: str, initial: str) -> str:
+        return f"lpad((substr({rest}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || '{initial}' || substr({rest}, 10)"
+
+    after, role = (2, 2, 3, 2), "uuau"
+    moves = []
+    for state in range(4):
+        options = [more(f"v{state}", "4", "D"), f"CASE WHEN NOT gone THEN {more(f'v{after[state]}', '3 + extra', 'R')} END",
+                   f"CASE WHEN NOT gone AND initial = '{role[state]}' THEN {more(f'v{after[state]}', 'extra', 'K')} END"]
+        if state == 0:
+            options.append(f"CASE WHEN NOT gone AND initial = 's' THEN {more('v1', 'extra', 'K')} END")
+        moves.append(f"least({', '.join(options)}) AS w{state}")
+    legal = "initial || next IN ('su', 'ua', 'au')"
+    return f"""
+    WITH RECURSIVE raw AS (
+        SELECT conv_id, turn, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) FROM raw WHERE kind <> 0),
+    placed AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS spot FROM damaged),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY spot) > 1 AS again, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+                    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, lead(initial) OVER (PARTITION BY conv_id ORDER BY spot) AS next FROM placed),
+    told AS (SELECT *, blank OR again AS gone, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM seen),
+    counts AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+               count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (extra > 0) AS truncated, count(*) FILTER (next IS NOT NULL AND NOT ({legal})) AS illegal FROM told GROUP BY conv_id),
+    ahead AS (
+        SELECT conv_id, n AS spot, '000000000' AS v0, '000000006II' AS v1, '000000003I' AS v2, '000000000' AS v3 FROM counts
+        UNION ALL
+        SELECT conv_id, spot, least(w0, {more("i2", "3", "I")}), least(w1, {more("i2", "3", "I")}), i2, least(w3, {more("w2", "3", "I")})
+        FROM (SELECT *, least(w2, {more("w3", "3", "I")}) AS i2 FROM (
+            SELECT a.conv_id, a.spot - 1 AS spot, {", ".join(moves)} FROM ahead AS a JOIN told AS t ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND t.spot = a.spot))),
+    best AS (SELECT conv_id, substr(v0, 1, 9)::BIGINT AS cost, substr(v0, 10) AS audit FROM ahead WHERE spot = 0),
+    walk AS (
+        SELECT conv_id, audit, 0 AS k, 0 AS spot, 0 AS state, NULL::VARCHAR AS line FROM best
+        UNION ALL
+        SELECT w.conv_id, audit, k + 1, CASE edit WHEN 'I' THEN w.spot ELSE w.spot + 1 END,
+               CASE WHEN edit = 'D' THEN state WHEN edit = 'K' AND initial = 's' THEN 1 WHEN state = 2 THEN 3 ELSE 2 END,
+               CASE edit WHEN 'D' THEN NULL WHEN 'K' THEN role || ':' || text ELSE CASE WHEN state = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE edit WHEN 'R' THEN text ELSE '' END END
+        FROM (SELECT *, substr(audit, k + 1, 1) AS edit FROM walk) AS w LEFT JOIN told AS t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.spot = w.spot + 1 WHERE k < length(audit)),
+    texts AS (SELECT conv_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY k), '')) AS repaired_sha256 FROM walk GROUP BY conv_id)
+    SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) AS e LEFT JOIN counts AS c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+    LEFT JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts AS t ON t.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": _licenses(),
     "op4_quality_cascade": QUALITY,
     "op8_jaccard_forest": JACCARD,
     "op10_decontamination": DECONTAMINATION,
+    "op11_exact_dedup": COPIES,
+    "op12_merkle_manifest": MANIFEST,
+    "op13_conversation_repair": _repair(),
 }
