@@ -6,7 +6,8 @@
    they lie, so a large group of copies sends one row from each task. Each word then takes its keys one after the other:
    a key that the first filter already holds, or that came more than once, goes into the second filter.
 3. A row whose bits are not all set in the second filter has no copy and passes straight through. The others, real copies
-   and some half per cent of false alarms, shuffle by digest: groups are counted with map-side sums and attached again.
+   and some half per cent of false alarms, shuffle by digest: groups are counted with map-side sums and attached again,
+   large ones by a broadcast of at most `HOT_GROUPS` groups.
 
 The first filter grows with the rows (16 bits each) and lives as a distributed table, as the second does, which holds only
 words with repeated keys. It is broadcast where it has at most `BROADCAST_WORDS` words; a larger one is met by a shuffled
@@ -23,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landledger.llm.shared import staged
+from landledger.plans.skew import attach
 
 BLANKS = r"[\x20\x09-\x0D]+"
 BITS_A_ROW = 16
 PROBES = 4
 #: Of 16 bytes each, some 100 MB as a hash table of longs.
 BROADCAST_WORDS = 2_000_000
+#: Groups of copies that are broadcast hold more than rows / HOT_GROUPS rows each, and at least LEAST_HOT.
+HOT_GROUPS, LEAST_HOT = 10_000, 500
 
 
 def _digests(docs: DataFrame, text: str, key: str, carried: list[str]) -> DataFrame:
@@ -66,30 +70,29 @@ def second_filter(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _resolved(docs: DataFrame, text: str, key: str, carried: list[str], broadcast_words: int) -> DataFrame:
-    """Each row with `keeper` (null where it has no copy) and `group_size`."""
+    """Each row with its group's size and the row of it that stays, `keeper`."""
     rows = _digests(docs, text, key, carried)
-    words = 1 << max(0, rows.count() * BITS_A_ROW // 64).bit_length()
+    many = rows.count()
+    words = 1 << max(0, many * BITS_A_ROW // 64).bit_length()
     repeated, _ = staged(second_filter(rows, words), "repeated")
     if repeated.count() <= broadcast_words:
         repeated = F.broadcast(repeated)
     suspected = F.coalesce(F.col("again").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
     probed = _keys(rows, words).join(repeated, "word", "left").withColumn("suspected", suspected).drop("word", "mask", "again")
     suspects, clear = probed.where("suspected"), probed.where("NOT suspected")
-    first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")).alias("keeper")
-    groups = suspects.groupBy("digest").agg(F.count("*").alias("group_size"), first).where("group_size > 1")
-    met = suspects.join(groups, "digest", "left")
-    alone = clear.withColumns({"group_size": F.lit(1).cast("long"), "keeper": F.lit(None).cast(groups.schema["keeper"].dataType)})
-    return met.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).unionByName(alone)
+    own = F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")
+    # groups with more than a ten-thousandth of all rows, so at most 10,000, are broadcast and their rows spread
+    met = attach(suspects, ["digest"], {"group_size": F.count("*"), "keeper": F.min(own)}, ["row"], max(LEAST_HOT, many // HOT_GROUPS))
+    return met.unionByName(clear.withColumns({"group_size": F.lit(1).cast("long"), "keeper": own}))
 
 
-_KEPT = F.coalesce(F.col("keeper.row") == F.col("row"), F.lit(True))
+_KEPT = F.col("keeper.row") == F.col("row")
 
 
 def mark(docs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Per row: the key, keep_id, group_size, kept and text_sha256 of the normalised text."""
     rows = _resolved(docs, text, key, [], broadcast_words)
-    keep_id = F.when(F.col("keeper").isNotNull(), F.col("keeper.key")).otherwise(F.col("key"))
-    return rows.select(F.col("key").alias(key), keep_id.alias("keep_id"), "group_size", _KEPT.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.select(F.col("key").alias(key), F.col("keeper.key").alias("keep_id"), "group_size", _KEPT.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep(docs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
