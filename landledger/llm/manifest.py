@@ -8,8 +8,8 @@ at the root: each node receives the siblings on its way to the root (a proof suf
 last to the leaves, which prove themselves.
 
 A leaf is the digest of the given fields, each `-` if null, else its UTF-8 byte count, `:` and the value; so every null,
-empty or long value has a defined digest. Leaves ascend by key (nulls first); equal keys by leaf, then by place in the
-table. Groups ascend with null first. A chunk's last run may be short; a lone node is hashed alone as long as its tree has
+empty or long value has a defined digest. Leaves ascend by key (nulls first); equal keys by their leaf's first 16 digits,
+then by place in the table. Groups ascend with null first. A chunk's last run may be short; a lone node is hashed alone as long as its tree has
 other nodes. An empty table gives an empty table. Columns not named are ignored, whatever their names.
 """
 
@@ -155,7 +155,7 @@ def prove(docs: DataFrame, fields: list[str] = FIELDS, key: str = "doc_id", grou
     claimed = [(claims or {}).get(f, docs[f]) for f in fields]
     read = docs.select(docs[key].alias("key"), group_key(docs[group]).alias("tree"), leaf([docs[f] for f in fields]).alias("digest"), leaf(claimed).alias("claim"), F.monotonically_increasing_id().alias("row"))
     leaves, _ = staged(read, "manifest-leaves")
-    placed = numbered(leaves, "tree", [F.col("key").asc_nulls_first(), F.col("digest"), F.col("claim"), F.col("row")], "manifest-order")
+    placed = numbered(leaves, "tree", [F.col("key").asc_nulls_first(), F.unhex(F.substring("digest", 1, 16)), F.col("row")], "manifest-order")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *[T.StructField(c, T.StringType()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], T.StructField("verified", T.BooleanType()), T.StructField("proof", T.StringType())])
     if leaves.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
