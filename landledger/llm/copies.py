@@ -86,16 +86,13 @@ def _resolved(docs: DataFrame, text: str, key: str, carried: list[str], broadcas
     return met.unionByName(clear.withColumns({"group_size": F.lit(1).cast("long"), "keeper": own}))
 
 
-_KEPT = F.col("keeper.row") == F.col("row")
-
-
 def mark(docs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Per row: the key, keep_id, group_size, kept and text_sha256 of the normalised text."""
     rows = _resolved(docs, text, key, [], broadcast_words)
-    return rows.select(F.col("key").alias(key), F.col("keeper.key").alias("keep_id"), "group_size", _KEPT.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.select(F.col("key").alias(key), F.col("keeper.key").alias("keep_id"), "group_size", F.expr("keeper.row = row").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep(docs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """The rows that stay, with the columns of docs."""
     rows = _resolved(docs, text, key, docs.columns, broadcast_words)
-    return rows.where(_KEPT).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    return rows.where("keeper.row = row").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

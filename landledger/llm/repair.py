@@ -317,8 +317,8 @@ def repaired(convs: DataFrame) -> DataFrame:
     """The repaired conversations: conv_id, turn (from 0), role and text."""
     rows, told = _faults(convs)
     audited = _audited(_pieces(told))
-    lines = _lines(rows, audited).select("conv", F.explode("lines").alias("line"), "place", F.monotonically_increasing_id().alias("at"))
-    placed = numbered(lines, "conv", [F.col("place"), F.col("at")], "repair-lines")
+    lines = _lines(rows, audited).select("conv", F.explode("lines").alias("line"), F.col("place").alias("after"), F.monotonically_increasing_id().alias("at"))
+    placed = numbered(lines, "conv", [F.col("after"), F.col("at")], "repair-lines")
     ids = rows.groupBy("conv").agg(F.max("conv_id").alias("conv_id"))
     return placed.join(ids, "conv").select("conv_id", F.col("place").alias("turn"), "line.role", "line.text")
 
