@@ -27,6 +27,7 @@ from landledger.plans.spread import spread
 from landledger.plans.stages import Stages
 from landledger.policy import METRES_PER_DEGREE, price_table
 from landledger.portfolio import Portfolio
+from landledger.readback import QUERIES as READ_BACK
 from landledger.sources.lists import read_list
 from landledger.streaming import windows as W
 
@@ -358,6 +359,7 @@ _with_grades("session_summary", lambda meta, grades, qs: _rounded(S.session_tabl
 _with_grades("model_summary", lambda meta, grades, qs: _rounded(S.model_summary(S.session_table(meta, grades))))
 _with_grades("runtime_by_model", lambda meta, grades, qs: _rounded(S.runtime_by_model(S.session_table(meta, grades))))
 _with_grades("score_cost_points", lambda meta, grades, qs: _rounded(S.score_cost_points(S.session_table(meta, grades))))
+_with_grades("cost_frontier", lambda meta, grades, qs: _rounded(S.cost_frontier(S.score_cost_points(S.session_table(meta, grades)))))
 _with_grades("excluded_runs", lambda meta, grades, qs: S.exclusions(meta, grades))
 _with_grades("arm_accuracy", lambda meta, grades, qs: _rounded(S.arm_accuracy(meta, grades)))
 _with_grades("question_delta", lambda meta, grades, qs: _rounded(S.question_delta(meta, grades)))
@@ -536,3 +538,6 @@ def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     hashed = docs.select("spec", "path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     return T.set_digest(hashed, ["spec"])
+
+
+QUERIES |= READ_BACK

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from landledger.operators.grading import CORRECT, NEAR_MISS
 from landledger.plans.skew import top_per_group
@@ -126,6 +127,26 @@ def score_cost_points(sessions: DataFrame) -> DataFrame:
     return sessions.select("model", "run", "cost_usd", "accuracy")
 
 
+def cost_frontier(points: DataFrame, buckets: int = 256) -> DataFrame:
+    """Best accuracy that any run up to each point's cost reached, and whether the point set it.
+
+    Points of one cost are one value first. Costs are dealt to buckets by approximate quantiles, which decide the balance
+    only; the best of all cheaper buckets is carried into each.
+    """
+    best = points.groupBy("cost_usd").agg(F.max("accuracy").alias("here"))
+    borders = best.agg(F.percentile_approx("cost_usd", [k / buckets for k in range(1, buckets)])).scalar()
+    dealt = best.withColumn("_borders", borders)
+    dealt = dealt.withColumn("_bucket", F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col("cost_usd"))), F.lit(0))).drop("_borders")
+    cheaper = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most `buckets` rows
+    carried = dealt.groupBy("_bucket").agg(F.max("here").alias("_most")).select("_bucket", F.max("_most").over(cheaper).alias("_carried"))
+    inside = Window.partitionBy("_bucket").orderBy("cost_usd").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.withColumn("_inside", F.max("here").over(inside)).join(F.broadcast(carried), "_bucket")
+    reached = before.select("cost_usd", "here", F.greatest("_inside", "_carried").alias("before"))
+    met = points.join(reached, "cost_usd")
+    sets = (F.col("accuracy") == F.col("here")) & F.coalesce(F.col("accuracy") > F.col("before"), F.lit(True))
+    return met.select(*points.columns, F.greatest("here", "before").alias("best_so_far"), sets.alias("on_frontier"))
+
+
 def exclusions(meta: DataFrame, grades: DataFrame) -> DataFrame:
     """Runs left out of the arm table and why; the first reason that applies."""
     graded = grades.select("run", F.lit(True).alias("graded")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landledger.functions import geometry as G
 from landledger.functions.wkb import from_wkb, to_wkb
+from landledger.sources.files import file_digests
 
 
 def read_shapes(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -56,11 +57,9 @@ def write_answer_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def checksum_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256) of the files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256")
-    ).orderBy("name")
+    """(name, sha256) of the files under a folder, read in parts."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return file_digests(files).select(F.substring_index("path", "/", -1).alias("name"), "sha256").orderBy("name")
 
 
 def write_json(df: DataFrame, path: str) -> None:
