@@ -57,7 +57,9 @@ def attach(
     hot = grouped.filter(F.col("_rows") > hot_rows).select(
         *keys, F.lit(True).alias("_hot"), *[F.col(k).alias(f"_hot_{k}") for k in values]
     )
-    cold = grouped.filter(F.col("_rows") <= hot_rows).drop("_rows").withColumn("_part", F.lit(0).cast("bigint"))
+    # always 0, but not a literal: the optimizer would drop that from the join's keys and spread nothing
+    none = F.greatest(F.col("_rows") - hot_rows, F.lit(0).cast("bigint"))
+    cold = grouped.filter(F.col("_rows") <= hot_rows).withColumn("_part", none).drop("_rows")
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(4096)) + 1).otherwise(F.lit(0))
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
