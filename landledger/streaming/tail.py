@@ -2,7 +2,7 @@
 
 The offset of the stream is the length of each file as it was last seen, kept by Spark in the query's own checkpoint, so a
 restarted query goes on where it stopped, without loss or repeats. A batch is the bytes between two offsets, cut into
-ranges of `split_bytes` that are read by different tasks. A range yields the lines whose line break lies in it, looking
+ranges of at most `split_bytes`, small ones put together for a task. A range yields the lines whose line break lies in it, looking
 back for where the first one began; a half-written last line therefore comes with the batch that brings its end, and no
 range depends on another. Files are expected to grow only; a file that became shorter is followed from its new end. A
 batch's ranges follow from the two offsets, so a repeated batch reads the same lines.
@@ -22,14 +22,18 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from landledger.sources.runs import RECORD_SCHEMA
 
 SPLIT_BYTES = 32 << 20
+#: A range counts as so many bytes at least when small ones are put together for a task.
+OPEN_COST = 1 << 20
 #: Bytes read at a time, and lines handed on at a time.
 CHUNK, LINES = 1 << 20, 4096
 _LINE = pa.schema([("file", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())])
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+class Ranges(InputPartition):
+    """(path, start, stop) of ranges that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 def _line_start(file: pa.NativeFile, at: int) -> int:
@@ -81,24 +85,31 @@ class GrowingReader(DataSourceStreamReader):
         listed = self.system.get_file_info(pafs.FileSelector(self.root, recursive=True, allow_not_found=True))
         return {x.path: x.size for x in sorted(listed, key=lambda x: x.path) if x.is_file and self.match.fullmatch(x.path)}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        ranges = []
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        tasks, room = [], 0
         for path, size in end.items():
             for at in range(start.get(path, 0), size, self.split_bytes):
-                ranges.append(Range(self.before + path, at, min(at + self.split_bytes, size)))
-        return ranges
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+                stop = min(at + self.split_bytes, size)
+                cost = max(stop - at, OPEN_COST)
+                if not tasks or cost > room:
+                    tasks.append(Ranges([]))
+                    room = self.split_bytes
+                tasks[-1].ranges.append((self.before + path, at, stop))
+                room -= cost
+        return tasks
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _LINE, strict=True)], schema=_LINE)
 
-        for start, stop, line in lines_of(partition.path, partition.start, partition.stop):
-            rows.append((partition.path, start, stop, line.decode("utf-8", "replace")))
-            if len(rows) == LINES:
-                yield batch()
-                rows.clear()
+        for path, first, last in partition.ranges:
+            for start, stop, line in lines_of(path, first, last):
+                rows.append((path, start, stop, line.decode("utf-8", "replace")))
+                if len(rows) == LINES:
+                    yield batch()
+                    rows.clear()
         if rows:
             yield batch()
 

@@ -45,7 +45,8 @@ class CallWatch(StatefulProcessor):
         self.handle.registerTimer(now_ms + int(self.pulse * 1000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tool, started, shown, ended, failed = self.call.get() if self.call.exists() else (None, None, 0.0, None, None)
+        known = self.call.exists()
+        tool, started, shown, ended, failed = self.call.get() if known else (None, None, 0.0, None, None)
         was_open, out = started is not None, []
         for r in pd.concat(rows).sort_values("arrival").itertuples():  # a batch's rows of one call
             if r.kind == "call" and started is None:
@@ -58,9 +59,10 @@ class CallWatch(StatefulProcessor):
                 ended, failed = r.at, bool(r.failed)
         if started is not None and ended is not None:
             out.append(("ended", tool, started, ended, failed, ended - started))
-            self.call.clear()
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
+            if known:
+                self.call.clear()
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
         else:
             self.call.update((tool, started, shown, ended, failed))
             if started is not None and not was_open:
