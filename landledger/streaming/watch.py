@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,32 +32,28 @@ class CallWatch(StatefulProcessor):
         self.handle = handle
         self.call = handle.getValueState("call", _STATE, self.forget)
 
-    def _told(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            columns = ["event", "tool", "started", "ended", "failed", "seconds"]
-            told = pd.DataFrame(rows, columns=columns).astype({"started": "float64", "ended": "float64", "seconds": "float64", "failed": "boolean"})
-            told.insert(0, "call_id", key[1])
-            told.insert(0, "run", key[0])
-            yield told
+    @staticmethod
+    def _told(key: tuple, event: str, tool: str, started: float | None, ended: float | None, failed: bool | None, seconds: float | None) -> Row:
+        return Row(run=key[0], call_id=key[1], event=event, tool=tool, started=started, ended=ended, failed=failed, seconds=seconds)
 
     def _later(self, now_ms: int) -> None:
         self.handle.registerTimer(now_ms + int(self.pulse * 1000))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.call.exists()
         tool, started, shown, ended, failed = self.call.get() if known else (None, None, 0.0, None, None)
-        was_open, out = started is not None, []
-        for r in pd.concat(rows).sort_values("arrival").itertuples():  # a batch's rows of one call
+        was_open = started is not None
+        for r in sorted(rows, key=lambda r: r.arrival):  # a batch's rows of one call
             if r.kind == "call" and started is None:
                 tool, started = r.tool, r.at
-                out.append(("started", tool, started, None, None, None))
+                yield self._told(key, "started", tool, started, None, None, None)
             elif r.kind == "beat" and r.elapsed - shown >= HEARTBEAT_SECONDS:
                 shown = r.elapsed
-                out.append(("beat", tool or r.tool, started, None, None, shown))
+                yield self._told(key, "beat", tool or r.tool, started, None, None, shown)
             elif r.kind == "result" and ended is None:
                 ended, failed = r.at, bool(r.failed)
         if started is not None and ended is not None:
-            out.append(("ended", tool, started, ended, failed, ended - started))
+            yield self._told(key, "ended", tool, started, ended, failed, ended - started)
             if known:
                 self.call.clear()
                 for timer in list(self.handle.listTimers()):
@@ -67,14 +62,13 @@ class CallWatch(StatefulProcessor):
             self.call.update((tool, started, shown, ended, failed))
             if started is not None and not was_open:
                 self._later(timerValues.getCurrentProcessingTimeInMs())
-        yield from self._told(key, out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.call.exists():  # else forgotten
             tool, started, *_ = self.call.get()
             now = timerValues.getCurrentProcessingTimeInMs()
             self._later(now)
-            yield from self._told(key, [("running", tool, started, None, None, now / 1000 - started)])
+            yield self._told(key, "running", tool, started, None, None, now / 1000 - started)
 
     def close(self) -> None: ...
 
@@ -97,6 +91,6 @@ def call_marks(records: DataFrame) -> DataFrame:
 
 def watch_calls(records: DataFrame, pulse: float = HEARTBEAT_SECONDS, forget: int = FORGET) -> DataFrame:
     """What happens to each call, as it happens."""
-    return call_marks(records).groupBy("run", "call_id").transformWithStateInPandas(
+    return call_marks(records).groupBy("run", "call_id").transformWithState(
         CallWatch(pulse, forget), outputStructType=TOLD, outputMode="update", timeMode="processingTime"
     )
