@@ -71,7 +71,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def shapes(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, valid) of all that has a kind's form, by kind and start."""
     out = [("email", a, b, True) for a, b in emails(text)]
-    out += [("ip", m.start(), m.end(), all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))) for m in _IP.finditer(text)]
+    out += [("ip", m.start(), m.end(), all(len(p := part.lstrip("0")) < 4 and int(p or "0") <= 255 for part in m[0].split("."))) for m in _IP.finditer(text)]
     for match in _CARD.finditer(text):
         digits = match[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19:

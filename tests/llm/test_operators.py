@@ -219,6 +219,15 @@ def test_redaction(spark, tagger):
     assert done.where("doc_id = 9001").first().text is None
 
 
+def test_long_runs_of_digits(spark):
+    run = "0" * 5000
+    rows = [(1, run + "1.1.1.1", None, "", "", ""), (2, f"1.1.1.{run}255 and 1.1.{run}256.1", None, "", "", ""), (3, "9" * 6000 + ".1.2.3 +" + run, None, "", "", "")]
+    spans = [pii.rule_spans(text) for _, text, *_ in rows]
+    assert spans == [[("ip", 0, 5007)], [("ip", 0, 5009)], []]
+    report = {r.doc_id: (r.n_ip, r.n_card, r.n_phone) for r in pii.report(documents(spark, [*real(), *rows])).collect()}
+    assert [report[k] for k in (1, 2, 3)] == [(1, 0, 0), (1, 0, 0), (0, 0, 0)]
+
+
 # -- 4 quality --------------------------------------------------------------------------
 
 
