@@ -273,7 +273,7 @@ def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
         golden = D.golden_tables(spark, sf_dir).select("qid", "row_no", "cells")
         asked = golden.select("qid", F.lit(False).alias("geometry"), header.alias("header")).distinct()
         answers = D.answer_tables(spark, sf_dir).select("run", "qid", "row_no", "cells")
-        return Q.grade(D.expected_answers(spark, sf_dir), answers, golden, asked)
+        return Q.grade(D.expected_answers(spark, sf_dir), answers, golden, asked, Stages.of(spark, sf_dir))
 
     return Stages.of(spark, sf_dir).table("graded", build)
 

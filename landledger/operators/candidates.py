@@ -38,7 +38,7 @@ def membership(cad: DataFrame, facilities: DataFrame, hot_rows: int = HOT_ROWS)
     joined = split_join(
         cad.select("cod_imovel", "cod_ibge"),
         coops.select("cod_ibge", "entity_id", "entity_kind", "tier", "basis", "weight"),
-        ["cod_ibge"], "cod_imovel", hot_rows,
+        ["cod_ibge"], "cod_imovel", "entity_id", hot_rows,
     )
     return joined.withColumns(
         {"evidence_value": F.col("weight"), "distance_km": F.lit(None).cast("double"), "flags": F.lit("")}
@@ -56,7 +56,7 @@ def _near(cad: DataFrame, points: DataFrame, radius: float, hot_rows: int) -> Da
         .withColumn("_cy", F.explode(F.transform(around, lambda d: cell_y + d)))
         .withColumnsRenamed({"x_km": "_fx", "y_km": "_fy"})
     )
-    paired = split_join(here, there, ["_cx", "_cy"], "cod_imovel", hot_rows)
+    paired = split_join(here, there, ["_cx", "_cy"], "cod_imovel", "entity_id", hot_rows)
     dx, dy = F.col("x_km") - F.col("_fx"), F.col("y_km") - F.col("_fy")
     return (
         paired.withColumn("distance_km", F.sqrt(dx * dx + dy * dy))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from landledger.functions import cells as C
 from landledger.functions.pairing import cell_differences, match_grid, same_table
+from landledger.plans.stages import Stages
 from landledger.session import kernel_partitions
 
 CORRECT, NEAR_MISS, WRONG = "correct", "near_miss", "wrong"
@@ -23,11 +24,18 @@ GRADED = f"run string, qid string, outcome string, diffs array<struct<{DIFF_STRU
 
 
 def table_shapes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, width and raggedness per table; ``rows`` are body rows with a cells array."""
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"),
-        F.min(F.size("cells")).alias("width"),
-        (F.min(F.size("cells")) != F.max(F.size("cells"))).alias("ragged"),
+    """Rows, width, raggedness and an order-free digest per table; ``rows`` are body rows with a cells array.
+
+    Tables whose rows agree as text, in any order, have the same digest: sums over two 64-bit hashes of each row, taken
+    by halves so that they cannot overflow. ``odd`` tables hold a nan, which agrees with nothing.
+    """
+    plain = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\r\n"))))
+    hashed = rows.select(*keys, F.size("cells").alias("size"), F.exists(plain, lambda c: c.rlike("^[+-]?nan$")).alias("nan"),
+                         *[F.xxhash64(plain, F.lit(k)).alias(f"h{k}") for k in (0, 1)])
+    halves = [F.sum(half) for k in (0, 1) for half in (F.shiftright(f"h{k}", 32), F.col(f"h{k}").bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return hashed.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), F.min("size").alias("width"), (F.min("size") != F.max("size")).alias("ragged"),
+        F.bool_or("nan").alias("odd"), F.struct(*[h.alias(f"d{k}") for k, h in enumerate(halves)]).alias("digest"),
     )
 
 
@@ -35,20 +43,20 @@ def _typed(cells: Column) -> Column:
     return F.transform(cells, C.parse)
 
 
-def grade(expected: DataFrame, answers: DataFrame, golden: DataFrame, questions: DataFrame) -> DataFrame:
+def grade(expected: DataFrame, answers: DataFrame, golden: DataFrame, questions: DataFrame, stages: Stages | None = None) -> DataFrame:
     """(run, qid, outcome, diffs) for every expected answer.
 
     expected: run, qid, written (whether a file exists). answers: run, qid, row_no, cells.
     golden: qid, row_no, cells. questions: qid, geometry, header.
-    Missing, unreadable and mis-shaped answers are decided by aggregates, so a runaway answer
-    never reaches a group. Answers that hold the golden's rows as they are, in any order, are settled by counting.
-    A group is one of the others, with exactly the golden's number of rows.
+    Missing, unreadable and mis-shaped answers, and those that hold the golden's rows as they are in any order, are decided
+    by one aggregate over each side, so a runaway answer never reaches a group. A group is one of the others, with exactly
+    the golden's number of rows. With ``stages`` what is decided so far is written once and read by both branches.
     """
     want = table_shapes(golden, ["qid"]).select(
-        "qid", F.col("n_rows").alias("golden_rows"), F.col("width").alias("golden_columns")
+        "qid", F.col("n_rows").alias("golden_rows"), F.col("width").alias("golden_columns"), "odd", F.col("digest").alias("golden_digest")
     )
     have = table_shapes(answers, ["run", "qid"]).select(
-        "run", "qid", F.col("n_rows").alias("answer_rows"), F.col("width").alias("answer_columns"), "ragged"
+        "run", "qid", F.col("n_rows").alias("answer_rows"), F.col("width").alias("answer_columns"), "ragged", "digest"
     )
     status = (
         expected.join(have, ["run", "qid"], "left").join(want, "qid").join(questions, "qid")
@@ -59,9 +67,13 @@ def grade(expected: DataFrame, answers: DataFrame, golden: DataFrame, questions:
             .when(
                 (F.col("answer_rows") != F.col("golden_rows")) | (F.col("answer_columns") != F.col("golden_columns")),
                 WRONG,
-            ),
+            )
+            .when((F.col("digest") == F.col("golden_digest")) & ~F.col("odd"), CORRECT),
         )
+        .drop("digest", "golden_digest", "odd", "ragged")
     )
+    if stages:
+        status = stages.keep("grade-status", status)
     shape = F.struct(
         F.lit("shape").alias("kind"), F.lit(None).cast("int").alias("row"),
         *[F.lit(None).cast("string").alias(c) for c in ("column", "golden", "answer")],
@@ -73,34 +85,18 @@ def grade(expected: DataFrame, answers: DataFrame, golden: DataFrame, questions:
         F.when(F.col("outcome") == WRONG, F.array(shape)).otherwise(F.array()).cast(f"array<struct<{DIFF_STRUCT}>>")
         .alias("diffs"),
     )
-    alike = status.filter(F.col("outcome").isNull()).select("run", "qid", "geometry", "header")
-    exact = _exact(alike.select("run", "qid"), answers, golden)
-    settled = settled.unionByName(
-        exact.select("run", "qid", F.lit(CORRECT).alias("outcome"), F.array().cast(f"array<struct<{DIFF_STRUCT}>>").alias("diffs"))
-    )
-    comparable = alike.join(exact, ["run", "qid"], "left_anti")
+    comparable = status.filter(F.col("outcome").isNull()).select("run", "qid", "geometry", "header")
     # Golden rows go to every run that gave a comparable answer.
-    asked = golden.select("qid", "row_no", _typed(F.col("cells")).alias("cells"), F.lit(True).alias("is_golden"))
-    given = answers.select("run", "qid", "row_no", _typed(F.col("cells")).alias("cells"), F.lit(False).alias("is_golden"))
+    asked = golden.select("qid", "row_no", "cells", F.lit(True).alias("is_golden"))
+    given = answers.select("run", "qid", "row_no", "cells", F.lit(False).alias("is_golden"))
     sides = given.join(comparable, ["run", "qid"]).unionByName(
         asked.join(comparable, "qid").select("run", "qid", "row_no", "cells", "is_golden", "geometry", "header")
-    )
+    ).withColumn("cells", _typed(F.col("cells")))
     spread = sides.repartition(kernel_partitions(sides.sparkSession), "run", "qid")
     compared = spread.groupBy("run", "qid").applyInPandas(_grade_one, GRADED)
     return settled.unionByName(compared)
 
 
-def _exact(keys: DataFrame, answers: DataFrame, golden: DataFrame) -> DataFrame:
-    """(run, qid) whose cells agree with the golden table's as text, row by row in any order; nan agrees with nothing."""
-    plain = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\r\n")))).alias("cells")
-    given = answers.join(keys, ["run", "qid"]).select("run", "qid", plain)
-    wanted = golden.join(keys, "qid").select("run", "qid", plain)
-    odd = F.bool_or(F.exists("cells", lambda c: F.trim(c).rlike(r"(?i)^[+-]?nan$")))
-    sound = golden.groupBy("qid").agg(odd.alias("odd")).filter(~F.coalesce("odd", F.lit(False))).select("qid")
-    same = identical_tables(given, wanted, ["run", "qid"]).filter("identical").select("run", "qid")
-    return same.join(sound, "qid", "left_semi").select("run", "qid")
-
-
 def _grade_one(group: pd.DataFrame) -> pd.DataFrame:
     first = group.iloc[0]
     group = group.sort_values("row_no")

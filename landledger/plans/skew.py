@@ -9,36 +9,55 @@ from pyspark.sql.window import Window
 # A key with more rows than this is spread over several tasks. There can be at
 # most rows / HOT_ROWS such keys, which bounds every broadcast in this module.
 HOT_ROWS = 500_000
+# Pairs that one task compares.
+PAIRS = 25_000_000_000
+
+
+def _parts(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int, among: DataFrame | None) -> DataFrame:
+    """Keys whose rows have to be cut, with the number of parts of each side.
+
+    A part pair has at most PAIRS pairs (hot_rows squared, if that is less) and hot_rows rows of a side. Such a key has
+    more than the root of that many rows on one side, so there are at most rows / root of them.
+    """
+    pairs = float(min(PAIRS, hot_rows**2))
+    side = pairs**0.5
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*on) if among is None else df.select(*on).join(F.broadcast(among), among.columns, "left_semi")
+        return rows.groupBy(*on).agg(F.count("*").cast("double").alias(name))
+
+    def parts(rows: Column, others: Column) -> Column:
+        return F.ceil(F.greatest(rows * F.least(others, F.lit(side)) / pairs, rows / hot_rows)).cast("int")
+
+    sizes = counted(left, "_l").join(counted(right, "_r"), on)
+    cut = sizes.select(*on, parts(F.col("_l"), F.col("_r")).alias("_lefts"), parts(F.col("_r"), F.col("_l")).alias("_rights"))
+    return cut.filter((F.col("_lefts") > 1) | (F.col("_rights") > 1))
 
 
 def split_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
-    spread_by: str,
+    left_by: str,
+    right_by: str,
     hot_rows: int = HOT_ROWS,
+    among: DataFrame | None = None,
 ) -> DataFrame:
-    """Inner equi join in which each hot key of ``left`` is cut into parts of about ``hot_rows``.
+    """Inner equi join in which both sides of a hot key are cut into parts, and every part meets every other.
 
-    Rows of ``right`` under a hot key are repeated once per part; all others travel once.
+    Rows are dealt to parts by the hash of ``left_by`` and ``right_by`` and repeated once per part of the other side; rows
+    of other keys travel once. ``among`` names some of the keys' columns and the only values that can be hot.
     """
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
-    )
-    parted_left = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts")), F.lit(0)).cast("int"))
-        .drop("_parts")
-    )
-    parted_right = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
-        .drop("_parts")
-    )
-    return parted_left.join(parted_right, [*on, "_part"]).drop("_part")
+    hot = F.broadcast(_parts(left, right, on, hot_rows, among))
+
+    def dealt(df: DataFrame, by: str, own: str, other: str, at: str, across: str) -> DataFrame:
+        parted = df.join(hot, on, "left")
+        parted = parted.withColumn(at, F.coalesce(F.pmod(F.xxhash64(by), F.col(own)), F.lit(0)).cast("int"))
+        return parted.withColumn(across, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))).drop(own, other)
+
+    lefts = dealt(left, left_by, "_lefts", "_rights", "_i", "_j")
+    rights = dealt(right, right_by, "_rights", "_lefts", "_j", "_i")
+    return lefts.join(rights, [*on, "_i", "_j"]).drop("_i", "_j")
 
 
 def attach(

@@ -4,6 +4,9 @@ Cells come in four sizes, each sixteen times the last. A shape sits at the first
 size that is at least as large as its bounding box, so it covers at most four
 cells there. Two shapes meet at the coarser of their two sizes, and only the
 cell holding the lower-left corner of the common box reports the pair.
+
+A cell with too many pairs is divided: its counts say how often its sides are halved, and what is still too much for a
+task afterwards, as when all shapes lie on each other, is cut into parts of both sides.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landledger.plans.skew import HOT_ROWS, split_join
+from landledger.plans.skew import HOT_ROWS, PAIRS, split_join
 
 LEVELS = 4
 STEP = 16
@@ -52,6 +55,35 @@ def _place(df: DataFrame, other: DataFrame, cell: float) -> DataFrame:
 
 
 BOUNDS = ["xmin", "ymin", "xmax", "ymax"]
+CELL = ["level", "cell_x", "cell_y"]
+#: A cell's sides are halved so often at most.
+DEPTH = 4
+
+
+def _crowded(left: DataFrame, right: DataFrame, pairs: float) -> DataFrame:
+    """Cells with more than ``pairs`` pairs, and how often to halve their sides; each halving leaves a sixteenth of evenly spread pairs.
+
+    One side of such a cell has more rows than the root of ``pairs``, which bounds their number.
+    """
+    met = left.groupBy(*CELL).agg(F.count("*").cast("double").alias("_l")).join(right.groupBy(*CELL).agg(F.count("*").cast("double").alias("_r")), CELL)
+    product = F.col("_l") * F.col("_r")
+    halvings = F.least(F.lit(DEPTH), F.ceil(F.log(product / pairs) / F.log(F.lit(16.0)))).cast("int")
+    return met.filter(product > pairs).select(*CELL, halvings.alias("_halved"))
+
+
+def _divided(cells: DataFrame, crowded: DataFrame, side: str, cell: float) -> DataFrame:
+    """One row per piece of a crowded cell that the shape's box touches, at (piece_x, piece_y); a cell that is not crowded is one piece."""
+    at = cells.join(F.broadcast(crowded), CELL, "left").withColumn("_halved", F.coalesce("_halved", F.lit(0)))
+    pieces = F.pow(F.lit(2.0), F.col("_halved")).cast("bigint")
+    for axis in ("x", "y"):
+        first, last = F.col(f"cell_{axis}") * pieces, (F.col(f"cell_{axis}") + 1) * pieces - 1
+
+        def index(bound: str) -> Column:
+            return F.floor(F.col(f"{side}_{axis}{bound}") / (_cell_size(F.col("level"), cell) / pieces))
+
+        within = F.sequence(F.greatest(index("min"), first), F.least(index("max"), last))
+        at = at.withColumn(f"piece_{axis}", F.explode(F.when(pieces == 1, F.array(first)).otherwise(within)))
+    return at
 
 
 def box_pairs(
@@ -85,7 +117,12 @@ def box_pairs(
         "level", "cell_x", "cell_y", F.col("_own").alias("_r_own"),
         *[F.col(c).alias(f"r_{c}") for c in rcols], *[F.col(f"_raw_{b}") for b in BOUNDS],
     )
-    joined = split_join(lcells, rcells, ["level", "cell_x", "cell_y"], f"l_{left_key}", hot_rows)
+    crowded = _crowded(lcells, rcells, float(min(PAIRS, hot_rows**2)))
+    lcells = _divided(lcells, crowded, "l", cell)
+    rcells = _divided(rcells, crowded, "r", cell).drop("_halved")
+    hot = crowded.select(*CELL)
+    joined = split_join(lcells, rcells, [*CELL, "piece_x", "piece_y"], f"l_{left_key}", f"r_{right_key}", hot_rows, among=hot)
+    piece = _cell_size(F.col("level"), cell) / F.pow(F.lit(2.0), F.col("_halved"))
     corner_x = F.greatest("l_xmin", "r_xmin")
     corner_y = F.greatest("l_ymin", "r_ymin")
     met = joined.filter(
@@ -94,11 +131,11 @@ def box_pairs(
         & (F.col("r_xmin") <= F.col("l_xmax"))
         & (F.col("l_ymin") <= F.col("r_ymax"))
         & (F.col("r_ymin") <= F.col("l_ymax"))
-        & (_index(corner_x, F.col("level"), cell) == F.col("cell_x"))
-        & (_index(corner_y, F.col("level"), cell) == F.col("cell_y"))
+        & (F.floor(corner_x / piece) == F.col("piece_x"))
+        & (F.floor(corner_y / piece) == F.col("piece_y"))
     )
     raw = {f"r_{b}": F.col(f"_raw_{b}") for b in BOUNDS}
-    return met.withColumns(raw).drop("level", "cell_x", "cell_y", "_l_own", "_r_own", *[f"_raw_{b}" for b in BOUNDS])
+    return met.withColumns(raw).drop(*CELL, "piece_x", "piece_y", "_halved", "_l_own", "_r_own", *[f"_raw_{b}" for b in BOUNDS])
 
 
 def pair_area(pairs: DataFrame, overlap) -> Column:

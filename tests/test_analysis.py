@@ -61,7 +61,7 @@ def test_hot_keys_give_the_same_rows(spark):
     df = spark.createDataFrame(rows, "id long, k long, v double")
     dim = spark.createDataFrame([(k, f"n{k}{c}") for k in range(0, 600, 1) for c in "ab"], "k long, name string")
     plain = sorted(map(tuple, df.join(dim, "k").select("id", "name").collect()))
-    split = sorted(map(tuple, skew.split_join(df, dim, ["k"], "id", hot_rows=20).select("id", "name").collect()))
+    split = sorted(map(tuple, skew.split_join(df, dim, ["k"], "id", "name", hot_rows=20).select("id", "name").collect()))
     assert plain == split
     for hot in (20, 10_000):
         told = skew.attach(df, ["k"], {"top": F.max("v"), "n": F.count("*")}, ["id"], hot).collect()
@@ -69,6 +69,47 @@ def test_hot_keys_give_the_same_rows(spark):
         assert {(r.k, r.top, r.n) for r in told if r.k == 7} == {(7, 10.0, 400 + 0)}
 
 
+def test_key_hot_on_both_sides_is_met_by_part_pairs(spark):
+    left = spark.range(3_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"))
+    right = spark.range(2_000).select(F.col("id").alias("name"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = skew.split_join(left, right, ["k"], "id", "name", hot_rows=300)
+        per_task = joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.countDistinct("id", "name").alias("d"))
+        rows = per_task.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    total = 2_700 * 1_800 + 200
+    assert sum(r.n for r in rows) == sum(r.d for r in rows) == total
+    assert len(rows) == 16 and max(r.n for r in rows) < total / 6  # 54 part pairs, dealt by hash
+    parts = skew._parts(left, right, ["k"], 300, None).collect()
+    assert [(r.k, r._lefts >= 9, r._rights >= 6) for r in parts] == [(-1, True, True)]
+
+
+@pytest.mark.parametrize("spread", [0.9, 0.001, 0.0])
+def test_cell_crowded_on_both_sides(spark, spread):
+    """Boxes in one cell: spread over it, in a corner of it, and all in one place."""
+    rng = random.Random(9)
+
+    def boxes(n):
+        corners = [(rng.random() * spread, rng.random() * spread) for _ in range(n)]
+        return [(i, x, y, x + 0.02 * spread + 0.01, y + 0.02 * spread + 0.01) for i, (x, y) in enumerate(corners)]
+
+    left, right = boxes(200), boxes(150)
+    cols = "xmin double, ymin double, xmax double, ymax double"
+    l, r = spark.createDataFrame(left, "a long, " + cols), spark.createDataFrame(right, "b long, " + cols)
+    want = sorted((p[0], q[0]) for p in left for q in right if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    for hot in (8, 40, 500_000):
+        got = sorted(map(tuple, box_pairs(l, r, "a", "b", 1.0, hot_rows=hot).select("l_a", "r_b").collect()))
+        assert got == want
+        near = box_pairs(l, r, "a", "b", 1.0, reach=0.05, hot_rows=hot).select("l_a", "r_b").distinct().count()
+        assert near == sum(1 for p in left for q in right if p[1] <= q[3] + 0.05 and q[1] - 0.05 <= p[3] and p[2] <= q[4] + 0.05 and q[2] - 0.05 <= p[4])
+
+
 def test_dense_rank_matches_window(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(3), float(rng.choice([1, 2, 2, 5, 9]) * rng.randrange(40))) for _ in range(500)]
