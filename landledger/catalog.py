@@ -343,7 +343,7 @@ def eligible_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
     before = F.when(F.col("n") > 0, F.array(F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))
     chain = nations.select(F.col("n").cast("string").alias("qid"), before.cast("array<string>").alias("depends_on"))
-    count = F.expr("sequence(0L, 24L)")
+    count = F.sequence(F.lit(0).cast("bigint"), nations.agg(F.max("n").cast("bigint")).scalar())
     runs = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run"), F.explode(count).alias("n"))
     right = (F.col("run") * 7 + F.col("n")) % 23 != 0
     grades = runs.select("run", F.col("n").cast("string").alias("qid"), F.when(right, "correct").otherwise("wrong").alias("outcome"))

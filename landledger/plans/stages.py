@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from landledger.session import checkpoint_root
 
 
+def _tables(spark: SparkSession, folder: str) -> list[str]:
+    """Name, size and time of what lies in a folder; nothing where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    return sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in system.listStatus(path))
+
+
 class Stages:
     _open: dict[tuple[str, str], "Stages"] = {}
 
@@ -26,8 +35,11 @@ class Stages:
 
     @classmethod
     def of(cls, spark: SparkSession, name: str, *settings: object) -> "Stages":
-        """The stages of one input under the given settings within one application."""
-        name = "|".join([name, *map(repr, settings)])
+        """The stages of one input under the given settings within one application.
+
+        Where the input is a folder, its tables' sizes and times are part of the key: rewritten data has stages of its own.
+        """
+        name = "|".join([name, *map(repr, settings), *_tables(spark, name)])
         key = (spark.sparkContext.applicationId, name)
         if key not in cls._open:
             cls._open[key] = cls(spark, name)
@@ -35,7 +47,9 @@ class Stages:
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """Write a table that the plan reads more than once. Another plan under the same name is another table."""
-        return self.table(f"{name}-{df.semanticHash() & 0xFFFFFFFF:08x}", lambda: df)
+        plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+        digest = hashlib.sha256(f"{plan}|{df.schema.json()}|{df.semanticHash()}".encode()).hexdigest()[:24]
+        return self.table(f"{name}-{digest}", lambda: df)
 
     def drop(self) -> None:
         """Delete the written tables; frames that read them are of no use afterwards."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landledger.functions import geometry as G
 from landledger.functions.wkb import from_wkb
 from landledger.operators import grading as Q
+from landledger.plans.stages import Stages
 from landledger.sources import lists, runs, tables
 from landledger.streaming import transcripts as ST
 
@@ -110,6 +111,21 @@ def test_csv_sink_and_manifest(spark):
     assert got.sha256 == hashlib.sha256(b"a,b,c\n1,True,\n2,False,x\n").hexdigest()
 
 
+def test_rewritten_input_has_stages_of_its_own(spark):
+    root = folder()
+    spark.range(3).write.parquet(f"{root}/t.parquet")
+
+    def counted():
+        return Stages.of(spark, root).table("n", lambda: spark.read.parquet(f"{root}/t.parquet").selectExpr("count(*) AS n")).first().n
+
+    assert (counted(), counted()) == (3, 3)
+    spark.range(5).write.mode("overwrite").parquet(f"{root}/t.parquet")
+    assert counted() == 5
+    stages = Stages.of(spark, root)
+    one, two = (stages.keep("k", spark.range(n)).count() for n in (1, 2))
+    assert (one, two) == (1, 2)
+
+
 def test_run_folders_grade_end_to_end(spark):
     root = folder()
     put(f"{root}/golden/q01.csv", "name,n\na,1\nb,2\n")
