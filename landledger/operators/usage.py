@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landledger.plans.skew import exact_median
 from landledger.policy import CACHE_READ_FACTOR, CACHE_WRITE_FACTOR
 
 # A call at or above this many seconds was killed; one pulse per this many seconds.
@@ -177,13 +178,21 @@ def heartbeats(beats: DataFrame) -> DataFrame:
 def truncation_stats(readings: DataFrame, by: list[str], digits: int = 2) -> DataFrame:
     """Where incomplete responses stop, by bytes and by seconds; complete and failed ones do not count."""
     cut = readings.filter(~F.col("complete") & F.col("error").isNull())
-    return cut.groupBy(*by).agg(
+    stats = cut.groupBy(*by).agg(
         F.count("*").alias("truncated"),
-        F.floor(F.median("bytes")).alias("bytes_median"),
         (F.max("bytes") - F.min("bytes")).alias("bytes_spread"),
-        F.round(F.median("total"), digits).alias("seconds_median"),
         F.round(F.max("total") - F.min("total"), digits).alias("seconds_spread"),
     )
+    for measure in ("bytes", "total"):
+        median = exact_median(cut, by, measure, f"_{measure}").withColumnsRenamed({k: f"_by_{k}" for k in by})
+        same = F.lit(True)
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+        stats = stats.join(median, same, "left").drop(*[f"_by_{k}" for k in by])
+    return stats.select(
+        *by, "truncated", F.floor("_bytes").alias("bytes_median"), "bytes_spread",
+        F.round("_total", digits).alias("seconds_median"), "seconds_spread",
+    )
 
 
 def run_id(started: Column, commit: Column) -> Column:

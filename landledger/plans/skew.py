@@ -126,3 +126,33 @@ def dense_rank(values: DataFrame, keys: list[str], value: str, out: str = "posit
         .join(offsets, [*keys, "_bucket"])
         .select(*keys, value, (F.col("_offset") + F.col("_local")).alias(out))
     )
+
+
+def exact_median(rows: DataFrame, keys: list[str], value: str, out: str, buckets: int = 256) -> DataFrame:
+    """(keys, out): the median of each group's values, the mean of the middle two where they are even in number.
+
+    Equal values are one row with a count first. Approximate quantiles of all values only choose the borders of buckets;
+    counts of buckets tell which one holds the middle, and only that one's values are ordered.
+    """
+    # a struct of keys, because a struct of nulls equals itself in a join
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    borders = counted.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)])).scalar()
+    # the added zero keeps the optimizer from putting this expression, with its lambda, in the place of the other side's column
+    bucket = F.size(F.filter("_borders", lambda b: b < F.col("_v"))) + F.monotonically_increasing_id() * 0
+    dealt = counted.withColumn("_borders", borders).withColumn("_bucket", bucket).drop("_borders")
+    group = Window.partitionBy("_key")
+    sizes = dealt.groupBy("_key", "_bucket").agg(F.sum("_n").alias("_size"))  # at most `buckets` rows a group
+    sizes = sizes.withColumns({
+        "_all": F.sum("_size").over(group),
+        "_before": F.coalesce(F.sum("_size").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = sizes.filter((F.col("_before") <= high) & (F.col("_before") + F.col("_size") > low)).select("_key", "_bucket", "_all", "_before")
+    ranked = dealt.join(middle, ["_key", "_bucket"])
+    last = F.col("_before") + F.sum("_n").over(Window.partitionBy("_key", "_bucket").orderBy("_v"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_last") - F.col("_n") <= place) & (place < F.col("_last")), F.col("_v")))
+
+    found = ranked.withColumn("_last", last).groupBy("_key").agg(((at(low) + at(high)) / 2).alias(out))
+    return found.select("_key.*", out)

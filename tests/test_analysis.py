@@ -1,5 +1,6 @@
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,21 @@ def test_cell_crowded_on_both_sides(spark, spread):
         assert near == sum(1 for p in left for q in right if p[1] <= q[3] + 0.05 and q[1] - 0.05 <= p[3] and p[2] <= q[4] + 0.05 and q[2] - 0.05 <= p[4])
 
 
+def test_exact_median(spark):
+    rng = random.Random(4)
+    groups = {"one": [rng.gauss(0, 1e6) for _ in range(3_001)], "even": [float(rng.randint(0, 5)) for _ in range(1_000)], "hot": [7.0] * 900 + [1.0] * 901,
+              "two": [1.0, 4.0], "single": [3.0], None: [2.0, 8.0, 9.0], "none": [None]}
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    want = {g: float(statistics.median(v)) for g, v in groups.items() if v != [None]}
+    for buckets in (256, 3):
+        told = skew.exact_median(df, ["g"], "v", "m", buckets)
+        assert {r.g: r.m for r in told.collect()} == want
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "median" not in plan.lower() and "percentile(" not in plan.lower()
+
+
 def test_dense_rank_matches_window(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(3), float(rng.choice([1, 2, 2, 5, 9]) * rng.randrange(40))) for _ in range(500)]
