@@ -22,7 +22,7 @@ FIRST, GLUED = "\x01", "\x02"
 #: What a text must not hold to be cut into words: marks, two white-space characters in a row, and rare white space.
 UNUSUAL = r"[\x01\x02\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}|[ \n]$"
 #: Words kept per worker in each of two generations.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _NEWLINE = re.compile(r"[\x00-\x20\x7f-\xa0]")
 
 
@@ -49,26 +49,14 @@ class Encoder:
     def _spelled(word: str) -> str:
         return word[1:] if word[:1] in (FIRST, GLUED) else word if word[:1] == "\n" else " " + word
 
-    def _together(self, words: list[str], spelled: list[str]) -> None:
-        """Ids of spelled words that hold no line break, 512 in a call."""
-        size = self.type.itemsize
-        for at in range(0, len(words), 512):
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(spelled[at : at + 512])], add_special_tokens=False)[0].ids, self.type)
-            cuts = np.flatnonzero(ids == self.line_break[0])
-            part = words[at : at + 512]
-            assert len(cuts) == len(part) - 1
-            raw = ids.tobytes()
-            begins = [0, *((cuts + 1) * size).tolist()]
-            self.recent.update(zip(part, [raw[b:e] for b, e in zip(begins, [*(cuts * size).tolist(), len(raw)], strict=True)], strict=True))
-
     def _learn(self, words: list[str]) -> None:
         """Words joined by line breaks are encoded in few calls; a line break is a token of its own between them."""
+        plain, alone, heads = [], [], []
         simple = len(self.line_break) == 1
-        words_only = [w for w in words if w.isalnum()] if simple else []
-        self._together(words_only, [" " + w for w in words_only])
-        marked, headed, plain, alone = [], [], [], []
         for word in words:
             if simple and word.isalnum():
+                plain.append(" " + word)
+                heads.append((word, False))
                 continue
             spelled = self._spelled(word)
             head = spelled[:1] == "\n"
@@ -76,27 +64,38 @@ class Encoder:
             if not simple or _NEWLINE.search(body, 1) or not body.strip() or (body[0] < "!" and body[0] != " "):
                 alone.append((word, spelled))
             else:
-                marked.append(word)
-                headed.append(head)
                 plain.append(body)
-        self._together(marked, plain)
-        lead = np.array(self.line_break[:1], self.type).tobytes()
-        for word, head in zip(marked, headed, strict=True):
-            if head:
-                self.recent[word] = lead + self.recent[word]
+                heads.append((word, head))
+        mark = self.line_break[0] if self.line_break else -1
+        for at in range(0, len(plain), 512):
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain[at : at + 512])], add_special_tokens=False)[0].ids, self.type)
+            cuts = np.flatnonzero(ids == mark)
+            part = heads[at : at + 512]
+            assert len(cuts) == len(part) - 1
+            lead = np.array([mark], self.type).tobytes()
+            raw, size = ids.tobytes(), self.type.itemsize
+            begin = 0
+            for (word, head), cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
+                self.recent[word] = (lead if head else b"") + raw[begin * size : cut * size]
+                begin = cut + 1
         for word, spelled in alone:
             self.recent[word] = self._raw(spelled).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.recent) > KEPT_WORDS:
             self.recent, self.older = {}, self.recent
-        new = set(words).difference(self.recent)
-        back = new.intersection(self.older)
-        self.recent.update({word: self.older[word] for word in back})
-        new -= back
-        if new:
-            self._learn(list(new))
-        return list(map(self.recent.__getitem__, words))
+        recent, older = self.recent, self.older
+        missing = []
+        for word in words:
+            if word not in recent:
+                known = older.get(word)
+                if known is None:
+                    missing.append(word)
+                else:
+                    recent[word] = known
+        if missing:
+            self._learn(missing)
+        return [recent[word] for word in words]
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, each row's followed by `end`, and row bounds."""
@@ -113,15 +112,12 @@ class Encoder:
         bounds = np.asarray(lists.offsets, np.int64)
         codes = coded.indices.to_numpy()
         spelled = self._words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled)) // self.type.itemsize
+        sizes = np.array([len(x) for x in spelled], np.int64) // self.type.itemsize
         flat = np.frombuffer(b"".join(spelled), self.type)
         where = np.concatenate([[0], np.cumsum(sizes)])
         per = sizes[codes]
         total = np.concatenate([[0], np.cumsum(per)])
-        # a slice has fewer ids than bytes, so 32 bits hold every place in it unless a text alone is larger
-        kind = np.int32 if max(total[-1], where[-1]) < 1 << 31 else np.int64
-        index = np.repeat((where[codes] - total[:-1]).astype(kind), per)
-        index += np.arange(total[-1], dtype=kind)
+        index = np.arange(total[-1]) + np.repeat(where[codes] - total[:-1], per)
         ids = flat[index]
         rows = np.diff(total[bounds - bounds[0]])
         if not odd.any():
