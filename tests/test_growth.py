@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from landledger import derive as D
 from landledger.functions import geometry as G
 from landledger.operators import candidates as C
+from landledger.operators import match as M
+from landledger.plans.spatial import box_pairs
 from landledger.policy import MEMBERSHIP, routing_table, scope_table
+from landledger.portfolio import Portfolio
 
 
 def test_candidates_form_no_more_cooperatives_of_a_municipality_than_are_ranked(spark, stages):
@@ -27,3 +30,30 @@ def test_candidates_form_no_more_cooperatives_of_a_municipality_than_are_ranked(
     for r in ranked.orderBy("cod_imovel", "rank").collect():
         got.setdefault(r.cod_imovel, []).append(r.evidence_value)
     assert len(got) == 60 and all(v == weights for v in got.values())
+
+
+def test_matched_fields_and_enriched_parcels_are_written_without_their_shapes(spark):
+    portfolio = Portfolio(spark, "/root/testdata/sf0.001")
+    assert not {"edges", "is_box"} & set(portfolio.matched.columns)
+    assert portfolio.matched.schema["geometry"].dataType.names == ["kind"]
+    assert not {"edges", "geometry"} & set(portfolio.enriched.columns)
+
+
+def test_copies_of_a_shape_are_one_row_before_pairs_are_formed(spark, stages):
+    land = spark.range(30).withColumn("geometry", G.box(F.lit(0), F.lit(0), 1 + F.col("id") % 3, F.lit(2)))
+    cad = G.with_shape(land.select(F.col("id").alias("row_key"), F.lit("P").alias("cod_imovel"), "geometry"))
+    fields = G.with_shape(spark.range(4).select(F.col("id").alias("Id"), G.box(F.lit(0), F.lit(0), F.lit(4), F.lit(2)).alias("geometry")))
+    shares = M.union_fraction(fields, cad, D.PLANE, stages).collect()
+    assert {(r.field_id, r.union_frac) for r in shares} == {(k, 0.75) for k in range(4)}
+    shapes = next(df for name, df in stages.written.items() if name.startswith("union_shapes"))
+    assert shapes.count() == 3
+
+
+def test_edges_of_boxes_are_told_again_by_their_bounds(spark):
+    wkt = F.when(F.col("id") == 0, "POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))").otherwise("POLYGON ((1 1, 9 1, 1 9, 1 1))")
+    rows = G.with_shape(spark.range(2).select("id", G.from_wkt(wkt).alias("geometry")))
+    pairs = box_pairs(rows, rows, "id", "id", 16.0, carry_left=["is_box", "edges"], carry_right=["is_box", "edges"])
+    given = {r.id: r.edges for r in rows.collect()}
+    told = pairs.collect()
+    assert len(told) == 4
+    assert all(r.l_edges == given[r.l_id] and r.r_edges == given[r.r_id] for r in told)
