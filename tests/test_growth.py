@@ -1,14 +1,21 @@
 """Steps whose intermediate rows may grow no faster than their input."""
 
+import json
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from landledger import derive as D
+from landledger import readback
 from landledger.functions import geometry as G
 from landledger.operators import candidates as C
+from landledger.operators import grading as Q
 from landledger.operators import match as M
 from landledger.plans.spatial import box_pairs
 from landledger.policy import MEMBERSHIP, routing_table, scope_table
 from landledger.portfolio import Portfolio
+from landledger.readback import list_encodings
+from landledger.sources.runs import read_answers
 
 
 def test_candidates_form_no_more_cooperatives_of_a_municipality_than_are_ranked(spark, stages):
@@ -57,3 +64,31 @@ def test_edges_of_boxes_are_told_again_by_their_bounds(spark):
     told = pairs.collect()
     assert len(told) == 4
     assert all(r.l_edges == given[r.l_id] and r.r_edges == given[r.r_id] for r in told)
+
+
+def test_answer_files_are_read_once_by_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
+    for k in range(200):
+        file = tmp_path / "m" / f"r{k}" / "answers" / "q1.csv"
+        file.parent.mkdir(parents=True)
+        file.write_text(f"a,b\n{k},x\n")
+    rows, heads = read_answers(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("REPARTITION_BY_NUM") == 1, plan
+    assert rows.count() == heads.count() == 200
+
+
+def test_rows_of_tables_are_dealt_by_key_before_they_are_counted(spark):
+    left = spark.createDataFrame([(1, ["a"]), (1, ["a"]), (1, ["b"]), (2, ["a"]), (3, ["c"])], "k int, cells array<string>")
+    right = spark.createDataFrame([(1, ["b"]), (1, ["a"]), (1, ["a"]), (2, ["a"]), (2, ["a"])], "k int, cells array<string>")
+    told = Q.identical_tables(left, right, ["k"])
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert {(r.k, r.identical) for r in told.collect()} == {(1, True), (2, False), (3, False)}
+
+
+def test_lists_that_one_task_reads_are_cut_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(readback, "LIST_ROWS", 7)
+    assert {r.n_rows for r in list_encodings(spark, "/root/testdata/sf0.001").groupBy("mode").agg(F.sum("n_rows").alias("n_rows")).collect()} == {200}
+    root = Path(readback._folder(spark, "/root/testdata/sf0.001", "lists-7"))
+    assert all(len(json.loads(p.read_text())["features"]) <= 7 for p in (root / "geojson").iterdir())
+    assert all(p.read_text().count("\n") <= 8 for name in ("csv", "split") for p in (root / name).glob("*.csv"))
