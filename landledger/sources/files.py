@@ -14,6 +14,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landledger.session import kernel_partitions
+
 CSV_ROWS = "file_path string, place bigint, cells array<string>"
 #: Rows handed on at a time.
 CHUNK_ROWS = 4096
@@ -56,9 +58,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_csv_rows(spark: SparkSession, pattern: str) -> DataFrame:
     """(file_path, place, cells) of every CSV file of any width; quoted cells may hold commas, quotes and line breaks.
 
-    A file is read by one task, a few rows at a time.
+    A file is read by one task, a few rows at a time. Names are dealt over the shuffle's partitions, since Spark would start
+    a task for each few dozen files, however small they are.
     """
-    files = spark.read.format("binaryFile").load(pattern).select("path")
+    files = spark.read.format("binaryFile").load(pattern).select("path").repartition(kernel_partitions(spark))
     return files.mapInArrow(_csv_rows, CSV_ROWS)
 
 
