@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from landledger.functions import geometry as G
 from landledger.functions.projection import polyconic, spheroid_area_m2
+from landledger.functions import sweep
 from landledger.functions.sweep import _closed, cover, cushion, touches
 from landledger.functions.wkb import from_wkb, to_wkb
 
@@ -56,6 +58,25 @@ def test_holes_and_region_merge():
     assert cover(field, merged) == pytest.approx(cover(field, pieces), rel=1e-9)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 2000])
+def test_many_fields_are_swept_together_with_the_areas_each_has_alone(monkeypatch, block):
+    monkeypatch.setattr(sweep, "PAIR_BLOCK", block)
+    rng = np.random.default_rng(5)
+    fields = [random_star(rng, 1000, -5, n) for n in rng.integers(3, 12, 200)]
+    pieces = [[random_star(rng, *rng.uniform(-6, 6, 2) + [1000, -5], n) for n in rng.integers(3, 9, k)] for k in rng.integers(0, 6, 200)]
+    whole = [[np.round(p) for p in many] for many in pieces]  # shared corners and edges
+    for given in (pieces, whole):
+        want = [cover(f, many) for f, many in zip(fields, given)]
+        flat = pa.array([[p.ravel() for p in many] for many in given], pa.list_(pa.list_(pa.float64())))
+        calls = []
+        with monkeypatch.context() as patched:
+            patched.setattr(sweep, "cover", lambda *a: calls.append(a) or cover(*a))
+            at = flat.offsets.to_numpy()
+            got = sweep.cover_many(sweep._lists(pa.array([f.ravel() for f in fields])), sweep._lists(flat.values), at[:-1], at[1:])
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert sum(w > 0 for w in want) > 50 and (block < 1 << 20 or not calls)
+
+
 def test_precision_far_from_the_origin():
     shift = np.tile([-51.25, -15.75], 2)
     a, b = rect(0, 0, 0.01, 0.01), rect(0.005, 0, 0.02, 0.01)
