@@ -98,6 +98,25 @@ def test_touching():
     assert not touches(rect(0, 0, 1, 1), rect(1.001, 0, 2, 1))
 
 
+def test_many_pairs_are_tested_for_touching_together():
+    rng = np.random.default_rng(2)
+    left = [np.round(random_star(rng, 1000, -5, n)) for n in rng.integers(3, 9, 500)]
+    right = [np.round(random_star(rng, *rng.uniform(-7, 7, 2) + [1000, -5], n)) for n in rng.integers(3, 9, 500)]
+    want = [touches(a, b) for a, b in zip(left, right)]
+    columns = [sweep._lists(pa.array([e.ravel() for e in side])) for side in (left, right)]
+    assert sweep.touches_many(*columns, np.arange(500)).tolist() == want and 50 < sum(want) < 450
+    assert sweep.touches_many(*columns, np.arange(3, 500, 7)).tolist() == want[3::7]
+
+
+def test_overlapping_shapes_are_derived_once(spark, monkeypatch):
+    from landledger import catalog
+
+    made = []
+    monkeypatch.setattr(catalog, "Stages", type("Told", (catalog.Stages,), {"_open": {}, "table": lambda self, name, build: made.append(name) or catalog.Stages.__mro__[1].table(self, name, build)}))
+    plan = catalog.polygon_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert made == ["patches", "outlines"] and "part.parquet" not in plan and "REPARTITION" not in plan.upper()
+
+
 WKT = [
     ("POINT (-50.5 -15.25)", 0.0, -50.5, -15.25),
     ("POLYGON ((0 0, 4 0, 4 2, 0 2, 0 0))", 8.0, 2.0, 1.0),
