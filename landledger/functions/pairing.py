@@ -40,7 +40,16 @@ class Columns:
             np.where(i & ((w == 0) | (w == 1)), w.astype(float), word)
             for i, w, word in zip(self.is_int, self.number, self.word)
         ]
-        self.places = [np.array([_places(v) for v in col]) for col in self.number]
+        self.worded = [not np.isnan(word).all() for word in self.word]
+        self.numeric = [not text.all() for text in self.is_text]
+        self._rounded: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+    def rounded_to(self, j: int) -> list[tuple[int, np.ndarray]]:
+        """Decimal places that numbers of column j are written with, and which."""
+        if j not in self._rounded:
+            places = np.array([_places(v) for v in self.number[j].tolist()])
+            self._rounded[j] = [(k, places == k) for k in set(places.tolist()) if k >= 0]
+        return self._rounded[j]
 
 
 def _places(value: float) -> int:
@@ -52,38 +61,55 @@ def _places(value: float) -> int:
 def match_matrix(a: Columns, i: int, g: Columns, j: int, geometry: bool, slack: float) -> np.ndarray:
     """[answer row, golden row] of whether answer column i matches golden column j."""
     both_text = a.is_text[i][:, None] & g.is_text[j][None, :]
-    both_num = ~a.is_text[i][:, None] & ~g.is_text[j][None, :]
     out = both_text & (a.text[i][:, None] == g.text[j][None, :])
+    if not a.worded[i] and not g.worded[j] and not (a.numeric[i] and g.numeric[j]):
+        return out
+    both_num = ~a.is_text[i][:, None] & ~g.is_text[j][None, :]
     if both_num.any():
         an, gn = a.number[i][:, None], g.number[j][None, :]
         rounded = np.broadcast_to(an, both_num.shape).copy()
-        for places in np.unique(g.places[j]):
-            if places >= 0:
-                rounded[:, g.places[j] == places] = np.round(an, places)
+        for places, those in g.rounded_to(j):
+            rounded[:, those] = np.round(an, places)
         with np.errstate(invalid="ignore"):
             gap = np.abs(rounded - gn)
             rel = slack * (GEOM_REL_TOL if geometry else REL_TOL)
             room = np.maximum(rel * np.maximum(np.abs(rounded), np.abs(gn)), ABS_TOL)
             near = (rounded == gn) | (np.isfinite(rounded) & np.isfinite(gn) & (gap <= room))
-        if geometry or slack > 1:
-            with np.errstate(invalid="ignore"):
-                whole = np.abs(an - gn) <= slack * np.maximum(GEOM_INT_SLACK, GEOM_INT_SHARE * np.abs(gn))
-        else:
-            whole = a.spelled[i][:, None] == g.spelled[j][None, :]
+        out = np.where(both_num, near, out)
         both_int = a.is_int[i][:, None] & g.is_int[j][None, :]
-        out = np.where(both_int, whole, np.where(both_num, near, out))
-    worded = ~np.isnan(a.word[i])[:, None] | ~np.isnan(g.word[j])[None, :]
-    if worded.any():
+        if both_int.any():
+            if geometry or slack > 1:
+                with np.errstate(invalid="ignore"):
+                    whole = np.abs(an - gn) <= slack * np.maximum(GEOM_INT_SLACK, GEOM_INT_SHARE * np.abs(gn))
+            else:
+                whole = a.spelled[i][:, None] == g.spelled[j][None, :]
+            out = np.where(both_int, whole, out)
+    if a.worded[i] or g.worded[j]:
+        worded = ~np.isnan(a.word[i])[:, None] | ~np.isnan(g.word[j])[None, :]
         at, gt = a.truth[i][:, None], g.truth[j][None, :]
         out = np.where(worded & ~np.isnan(at) & ~np.isnan(gt), at == gt, out)
     return out
 
 
-def match_grid(answer: list, golden: list, geometry: bool, slack: float) -> list[list[np.ndarray]]:
-    """Match matrices of every answer column with every golden column."""
+def both_columns(answer: list, golden: list) -> tuple[Columns, Columns]:
     codes: dict[str, int] = {}
-    a, g = Columns(answer, codes), Columns(golden, codes)
-    return [[match_matrix(a, i, g, j, geometry, slack) for j in range(g.width)] for i in range(a.width)]
+    return Columns(answer, codes), Columns(golden, codes)
+
+
+def grid_of(a: Columns, g: Columns, geometry: bool, slack: float, known: list[list[np.ndarray]] | None = None) -> list[list[np.ndarray]]:
+    """Match matrices of every answer column with every golden column. ``known`` is the grid under another slack, which
+    holds for columns without two numbers to compare."""
+
+    def matrix(i: int, j: int) -> np.ndarray:
+        if known is not None and not (a.numeric[i] and g.numeric[j]):
+            return known[i][j]
+        return match_matrix(a, i, g, j, geometry, slack)
+
+    return [[matrix(i, j) for j in range(g.width)] for i in range(a.width)]
+
+
+def match_grid(answer: list, golden: list, geometry: bool, slack: float) -> list[list[np.ndarray]]:
+    return grid_of(*both_columns(answer, golden), geometry, slack)
 
 
 def _assign(rows: np.ndarray) -> bool:
@@ -159,6 +185,8 @@ def best_alignment(grid: list[list[np.ndarray]]) -> tuple[tuple, list[tuple[int,
     best = None
     for order in _orders(misses):
         cost = sum(misses[i][j] for j, i in enumerate(order)).T
+        if best is not None and cost.min(axis=1).sum() >= best[0]:
+            continue  # no pairing of rows differs in fewer cells
         taken = np.zeros(cost.shape[1], dtype=bool)
         pairs, total = [], 0
         for k, row in enumerate(cost):

@@ -3,11 +3,13 @@
 import json
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from landledger import derive as D
 from landledger import readback
 from landledger.functions import geometry as G
+from landledger.functions import pairing
 from landledger.operators import candidates as C
 from landledger.operators import grading as Q
 from landledger.operators import match as M
@@ -92,3 +94,21 @@ def test_lists_that_one_task_reads_are_cut_by_rows(spark, monkeypatch):
     root = Path(readback._folder(spark, "/root/testdata/sf0.001", "lists-7"))
     assert all(len(json.loads(p.read_text())["features"]) <= 7 for p in (root / "geojson").iterdir())
     assert all(p.read_text().count("\n") <= 8 for name in ("csv", "split") for p in (root / name).glob("*.csv"))
+
+
+def test_column_orders_that_cannot_win_are_not_paired_and_texts_are_compared_once(monkeypatch):
+    def cell(text, number=None):
+        return {"kind": "s" if number is None else "f", "s": text, "d": number, "n": None}
+
+    golden = [[cell(f"name {k}"), cell(str(k + 0.5), k + 0.5), cell(str(k + 900.5), k + 900.5)] for k in range(20)]
+    answer = [[a, b, cell("", c["d"] * 1.5)] for a, b, c in reversed(golden)]
+    columns = pairing.both_columns(answer, golden)
+    strict = pairing.grid_of(*columns, False, 1.0)
+    near = pairing.grid_of(*columns, False, 10.0, strict)
+    assert near[0][0] is strict[0][0] and near[1][1] is not strict[1][1]
+    alone = pairing.match_grid(answer, golden, False, 10.0)
+    assert all((near[i][j] == alone[i][j]).all() for i in range(3) for j in range(3))
+    paired = []
+    monkeypatch.setattr(pairing.np, "argmin", lambda *a, argmin=np.argmin: paired.append(1) or argmin(*a))
+    assert [d["column"] for d in pairing.cell_differences(answer, golden, strict, near, ["a", "b", "c"])] == ["c"] * 20
+    assert len(paired) == 20  # one order of six
