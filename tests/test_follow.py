@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from landledger.streaming import tail, watch
 
@@ -137,3 +138,100 @@ def test_calls_are_told_while_they_run_and_forgotten_after(spark, tmp_path, rock
         assert len(seen("running", "a")) == many
     finally:
         query.stop()
+
+
+def test_calls_of_a_run_share_a_few_states(spark, tmp_path, rocks):
+    path = tmp_path / "runs" / "opus" / "r1" / "transcript.jsonl"
+    told, n = [], 300
+    grow(path, "".join(json.dumps(block(k % 60, type="tool_use", id=f"c{k}", name=f"T{k % 3}")) + "\n" for k in range(n)))
+    records = tail.follow_transcripts(spark, str(tmp_path / "runs"))
+    sink = watch.watch_calls(records, pulse=3600.0).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+    query = sink.foreachBatch(lambda batch, _: told.extend(batch.collect())).start()
+
+    def until(what, seconds=90):  # timers keep such a query from ever being drained
+        end = time.time() + seconds
+        while not what() and time.time() < end:
+            assert query.exception() is None
+            time.sleep(0.3)
+        assert what()
+
+    try:
+        until(lambda: len(told) >= n and any(p["stateOperators"] and p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress))
+        assert sorted((r.call_id, r.tool) for r in told if r.event == "started") == sorted((f"c{k}", f"T{k % 3}") for k in range(n))
+        rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert 0 < max(rows) <= watch.SHARES * 3  # a state, its timer and its place in the order of timers; one row or more a call before
+        grow(path, "".join(json.dumps(block(100 + k, type="tool_result", tool_use_id=f"c{k}", is_error=k % 2 == 1)) + "\n" for k in range(n)))
+        until(lambda: len([r for r in told if r.event == "ended"]) >= n)
+        assert sorted((r.call_id, r.seconds, r.failed) for r in told if r.event == "ended") == sorted((f"c{k}", 100.0 + k - k % 60, k % 2 == 1) for k in range(n))
+        until(lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0)
+    finally:
+        query.stop()
+
+
+class Held:
+    """A handle with one group's state and timers."""
+
+    def __init__(self):
+        self.value, self.timers, self.now = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_each_call_of_a_group_is_told_and_forgotten_in_its_own_time():
+    held, told = Held(), []
+    group = watch.CallWatch(pulse=10.0, forget=60_000)
+    group.init(held)
+
+    def tell(second, rows):
+        for r in rows:
+            told.extend((second, *e) for e in zip(r.event, r.call_id, r.seconds, strict=True))
+
+    def mark(second, call, kind):
+        held.now = second * 1000
+        row = Row(arrival=[second], call_id=[call], kind=[kind], tool=["T"], at=[float(second)], elapsed=[None], failed=[False])
+        tell(second, group.handleInputRows(("r", 0), iter([row]), held))
+
+    def pass_to(second):
+        while held.timers and min(held.timers) <= second * 1000:
+            at = min(held.timers)
+            held.now = at
+            tell(at // 1000, group.handleExpiredTimer(("r", 0), held, None))
+            held.deleteTimer(at)
+
+    mark(0, "a", "call")
+    mark(3, "orphan", "result")
+    mark(4, "b", "call")
+    pass_to(25)
+    mark(25, "a", "result")
+    pass_to(30)
+    assert told == [
+        (0, "started", "a", None), (4, "started", "b", None), (10, "running", "a", 10.0), (14, "running", "b", 10.0),
+        (20, "running", "a", 20.0), (24, "running", "b", 20.0), (25, "ended", "a", 25.0),
+    ]
+    del told[:]
+    pass_to(200)  # b has had no mark for a minute at 64
+    assert told == [(s, "running", "b", s - 4.0) for s in (34, 44, 54)] and held.value is None and not held.timers
+    mark(201, "b", "result")
+    assert not told[3:] and not held.timers
