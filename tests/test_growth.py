@@ -1,6 +1,7 @@
 """Steps whose intermediate rows may grow no faster than their input."""
 
 import json
+import re
 from pathlib import Path
 
 import numpy as np
@@ -112,3 +113,15 @@ def test_column_orders_that_cannot_win_are_not_paired_and_texts_are_compared_onc
     monkeypatch.setattr(pairing.np, "argmin", lambda *a, argmin=np.argmin: paired.append(1) or argmin(*a))
     assert [d["column"] for d in pairing.cell_differences(answer, golden, strict, near, ["a", "b", "c"])] == ["c"] * 20
     assert len(paired) == 20  # one order of six
+
+
+def test_matching_moves_short_keys_and_each_pair_once(spark, stages):
+    k = F.col("id")
+    plain = G.with_shape(spark.range(40).select(k.alias("Id"), k.alias("row_key"), F.concat(F.lit("P"), k % 30).alias("cod_imovel"), G.box(k * 2, F.lit(0), k * 2 + 3, F.lit(3)).alias("geometry")))
+    M.union_fraction(plain, plain, D.PLANE, stages).collect()
+    told = next(df for name, df in stages.written.items() if name.startswith("union_pieces_told"))
+    assert dict(told.dtypes)["_copy"] == "bigint"  # a digest of 16 bytes before
+    shapes = next(df for name, df in stages.written.items() if name.startswith("union_shapes"))
+    assert shapes.select("_copy").distinct().count() == shapes.count() == 40
+    found = M.primary_parcel(M.overlaps(plain, plain, D.PLANE), D.PLANE)
+    assert not any("cod_imovel" in keys.group() for keys in re.finditer(r"Aggregate \[[^\]]*\]", found._jdf.queryExecution().analyzed().toString()))
