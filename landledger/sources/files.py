@@ -75,12 +75,13 @@ def csv_line(cells: Column) -> Column:
     return F.array_join(F.transform(cells, quoted), ",")
 
 
-def _write_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write_lines(batches: Iterator[pa.RecordBatch], head: str = "", between: str = "\n", tail: str = "\n") -> Iterator[pa.RecordBatch]:
     path, lines, out, unnamed = None, 0, None, ""
     done: list[tuple[str, int]] = []
 
     def close() -> None:
         if path is not None:
+            out.write(tail.encode())
             out.close()
             system, place = locate(path)
             system.move(locate(unnamed)[1], place)
@@ -90,11 +91,12 @@ def _write_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist(), strict=True):
             if at != path:
                 close()
-                path, lines, unnamed = at, 0, f"{at}.{uuid.uuid4().hex}"
+                folder, _, name = at.rpartition("/")
+                path, lines, unnamed = at, 0, f"{folder}/.{name}.{uuid.uuid4().hex}"
                 system, place = locate(unnamed)
                 system.create_dir(place.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(place)
-            out.write(line.encode() + b"\n")
+            out.write(((between if lines else head) + line).encode())
             lines += 1
         if done:
             yield pa.RecordBatch.from_pydict({"path": [d[0] for d in done], "n_lines": [d[1] for d in done]})
@@ -107,13 +109,29 @@ def _write_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_lines(rows: DataFrame) -> int:
     """Write (path, place, line) as one text file per path, its lines in order of place; the number of files.
 
-    Lines are streamed to a file of another name, which is renamed when it is whole, so a repeated task leaves whole
-    files. Files are written by as many tasks as there are partitions.
+    Lines are streamed to a file of another name, hidden from readers, which is renamed when it is whole, so a repeated
+    task leaves whole files. Files are written by as many tasks as there are partitions.
     """
     ordered = rows.select("path", "place", "line").repartition("path").sortWithinPartitions("path", "place")
     return ordered.mapInArrow(_write_lines, "path string, n_lines bigint").count()
 
 
+def write_collections(rows: DataFrame, feature: Column, folder: str, most: int) -> int:
+    """Write features as JSON files of one collection each, with at most ``most`` features; the number of files.
+
+    A task streams the rows it has into files of its own, so no collection is ever in memory. What was in the folder is
+    deleted first.
+    """
+    system, place = locate(folder)
+    system.create_dir(place, recursive=True)
+    system.delete_dir_contents(place)
+    numbered = rows.select(F.monotonically_increasing_id().alias("at"), F.to_json(feature).alias("line"))
+    # the id's upper bits are the partition, the lower 33 the row's place in it
+    part, lot = F.shiftright("at", 33), F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / most)
+    named = numbered.select(F.concat(F.lit(f"{folder}/"), part.cast("string"), F.lit("-"), lot.cast("string"), F.lit(".json")).alias("path"), "line")
+    return named.mapInArrow(lambda batches: _write_lines(batches, '{"features":[', ",\n", "]}\n"), "path string, n_lines bigint").count()
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {"path": batch.column("path").to_pylist(), "size": [], "sha256": []}

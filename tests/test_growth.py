@@ -18,6 +18,8 @@ from landledger.plans.spatial import box_pairs
 from landledger.policy import MEMBERSHIP, routing_table, scope_table
 from landledger.portfolio import Portfolio
 from landledger.readback import list_encodings
+from landledger.sources import lists
+from landledger.sources.files import write_collections
 from landledger.sources.runs import read_answers
 
 
@@ -97,6 +99,22 @@ def test_lists_that_one_task_reads_are_cut_by_rows(spark, monkeypatch):
     assert all(p.read_text().count("\n") <= 8 for name in ("csv", "split") for p in (root / name).glob("*.csv"))
 
 
+def test_collections_are_streamed_and_cut_by_rows_whatever_their_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readback, "LIST_ROWS", 7)
+    given = spark.createDataFrame([(4,)] * 40 + [(9,), (None,)], "p_partkey bigint")
+    given.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    told = list_encodings(spark, str(tmp_path)).where("mode in ('csv', 'geojson')").collect()
+    assert sorted((r.mode, r.form or -1, r.n_rows) for r in told) == [(m, *x) for m in ("csv", "geojson") for x in ((-1, 1), (-1, 1), (1, 40))]
+    written = list(Path(readback._folder(spark, str(tmp_path), "lists-7"), "geojson").iterdir())
+    sizes = [len(json.loads(p.read_text())["features"]) for p in written]
+    assert max(sizes) <= 7 and sum(sizes) == 42
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("id").alias("cod_imovel")).alias("properties"))
+    for n, parts in ((30, 3), (5, 1)):  # a second write leaves nothing of the first
+        write_collections(spark.range(n, numPartitions=parts), feature, str(tmp_path / "lists"), 4)
+        read = lists.read_list(spark, "geojson", str(tmp_path / "lists"))
+        assert sorted(int(r.raw_id) for r in read.collect()) == list(range(n))
+
+
 def test_column_orders_that_cannot_win_are_not_paired_and_texts_are_compared_once(monkeypatch):
     def cell(text, number=None):
         return {"kind": "s" if number is None else "f", "s": text, "d": number, "n": None}

@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from landledger.functions import geometry as G
 from landledger.functions.wkb import from_wkb
 from landledger.operators import grading as Q
 from landledger.plans.stages import Stages
-from landledger.sources import lists, runs, tables
+from landledger.sources import files, lists, runs, tables
 from landledger.streaming import transcripts as ST
 
 
@@ -74,6 +75,18 @@ def test_cells_with_line_breaks(spark):
     assert [r.cells for r in body.orderBy("row_no").collect()] == [['x, "y"\nz', "1"], ["", "2"]]
 
 
+def test_files_that_a_task_leaves_unfinished_are_hidden():
+    root = folder()
+
+    def given():
+        yield pa.RecordBatch.from_pydict({"path": [f"{root}/a.json", f"{root}/b.json"], "line": ["{}", "{}"]})
+        raise OSError("the executor is lost")
+
+    with pytest.raises(OSError):
+        list(files._write_lines(given()))
+    assert [n for n in os.listdir(root) if not n.startswith(".")] == ["a.json"]
+
+
 def test_binary_shapes_of_all_sorts(spark):
     import struct
 
